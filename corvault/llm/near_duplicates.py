@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corvault.llm import bloom
 from corvault.llm.postings import BLOCK_SCHEMA, BOTH, INDEX, PROBE, BlockWriter, bucket_count, frequency_sketch, joined, text_batches
 from corvault.llm.units import mix, shingle_hashes, shingle_sets, unit_hashes
-from corvault.runtime import checkpoint
+from corvault.runtime import checkpoint, release, shuffle_partitions
 
 _U = np.uint64
 #: Shared prefix tokens that a pair must have; prefixes are longer by one less.
@@ -73,7 +73,7 @@ def _pair_rule(threshold: float):
         keep &= small >= np.ceil(threshold * np.maximum(na, nb) - 1e-9)
         keep &= np.minimum(ra, rb) + HITS - 1 >= need
         same = a["k"] == b["k"]
-        keep &= ~same | ((a["x"] & 0x3FFFFFFF) != (b["x"] & 0x3FFFFFFF))
+        keep &= ~same | ((a["x"] & 0x3FFF) != (b["x"] & 0x3FFF))
         return keep, np.ones(len(a), dtype=np.int64), np.minimum(need, HITS)
 
     return rule
@@ -94,6 +94,7 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
         return h[np.diff(at)[owner] >= least_units]
 
     sketch = spark.sparkContext.broadcast(frequency_sketch(rows, plain))
+    release(spark)
     buckets = bucket_count(rows)
 
     def post(batches):
@@ -111,11 +112,11 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
                         seen.add(key)
             m = fresh[s.token_owner]
             o = s.token_owner[m]
-            yield from out.add(s.token[m], s.group[o], (s.key[o] & _U(0x3FFFFFFF)).astype(np.int64), s.n[o], s.rest[m])
+            yield from out.add(s.token[m], s.group[o], (s.key[o] & _U(0x3FFF)).astype(np.int64), s.n[o], s.rest[m])
         yield from out.flush()
 
-    blocks = rows.select("text").mapInArrow(post, BLOCK_SCHEMA)
-    groups = checkpoint(joined(blocks, _pair_rule(threshold)).select("k1", "k2"))
+    groups = checkpoint(joined(rows.select("text").mapInArrow(post, BLOCK_SCHEMA), _pair_rule(threshold)).select("k1", "k2"))
+    release(spark)
     wanted = spark.sparkContext.broadcast(bloom.build(groups.select(F.explode(F.array("k1", "k2")).alias("k"))))
 
     def describe(batches):
@@ -140,7 +141,11 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
 
     described = checkpoint(rows.mapInArrow(describe, "id long, key long, grp long, shingles binary"))
     members = described.select("id", "key")
-    classes = described.where("shingles is not null").groupBy("key").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"))
+    parts = shuffle_partitions(spark)
+    # partitioned by group only, so that neither the aggregation nor the joins on the group move the sets again
+    classes = (
+        described.where("shingles is not null").select("grp", "key", "shingles").repartition(parts, "grp").groupBy("grp", "key").agg(F.first("shingles").alias("shingles"))
+    )
     left = classes.select(F.col("grp").alias("k1"), F.col("key").alias("key_a"), F.col("shingles").alias("sa"))
     right = classes.select(F.col("grp").alias("k2"), F.col("key").alias("key_b"), F.col("shingles").alias("sb"))
     both = groups.join(left, "k1").join(right, "k2").where("k1 != k2 or key_a < key_b").select("key_a", "key_b", "sa", "sb")
@@ -167,6 +172,8 @@ def _verified(batches, threshold):
 def similar_rows(rows: DataFrame, id_col: str, text_col: str, threshold: float, k: int, least_units: int = 20) -> DataFrame:
     """Every pair of different rows (id_a < id_b) of at least the given similarity, copies written out."""
     pairs, members = class_pairs(rows, id_col, text_col, threshold, k, least_units)
+    pairs = checkpoint(pairs.select("key_a", "key_b"))
+    release(rows.sparkSession)
     a = members.select(F.col("key").alias("key_a"), F.col("id").alias("x"))
     b = members.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
     across = pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

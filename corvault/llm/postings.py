@@ -28,7 +28,7 @@ HOT = 20_000
 #: Code points that are hashed in one step.
 STEP = 1_000_000
 
-POSTING = np.dtype([("t", "<u4"), ("k", "<u8"), ("x", "<u4"), ("n", "<u4"), ("r", "<u4")])
+POSTING = np.dtype([("t", "<u4"), ("k", "<u8"), ("x", "<u2"), ("n", "<u4"), ("r", "<u4")])
 BLOCK_SCHEMA = "bucket int, block binary"
 PAIR_SCHEMA = "k1 long, k2 long, hits int, need int"
 
@@ -116,8 +116,8 @@ class BlockWriter:
         self.held = 0
 
     def add(self, token: np.ndarray, key: np.ndarray, x: np.ndarray, n: np.ndarray, r: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``x`` has 30 bits for the caller; two more bits hold the role of the posting in its cell."""
-        x = x & 0x3FFFFFFF
+        """``x`` has 14 bits for the caller; two more bits hold the role of the posting in its cell."""
+        x = x & 0x3FFF
         if self.sketch is not None:
             share = self.sketch[(token & _U(SKETCH_CELLS - 1)).astype(np.int64)].astype(np.int64) // HOT + 1
             hot = np.flatnonzero(share > 1)
@@ -140,7 +140,7 @@ class BlockWriter:
         cell = np.concatenate([own * s + np.arange(s), np.arange(s) * s + own]).astype(_U)
         role = np.repeat([INDEX, PROBE], s)
         fill = lambda v, t: np.full(2 * s, v, dtype=t)
-        return mix(token + (cell + _U(1)) * _U(0xD1B54A32D192ED03)), fill(key, _U), (x | (role << 30)).astype(np.int64), fill(n, np.int64), fill(r, np.int64)
+        return mix(token + (cell + _U(1)) * _U(0xD1B54A32D192ED03)), fill(key, _U), (x | (role << 14)).astype(np.int64), fill(n, np.int64), fill(r, np.int64)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
@@ -211,7 +211,7 @@ class _Pairs:
         self.parts, self.held, self.limit = [], 0, limit
 
     def add(self, a: np.ndarray, b: np.ndarray, pairs) -> Iterator[pa.RecordBatch]:
-        keep, weight, need = pairs(a, b, a["x"] >> 30, b["x"] >> 30)
+        keep, weight, need = pairs(a, b, a["x"] >> 14, b["x"] >> 14)
         if keep.any():
             k1, k2 = a["k"][keep], b["k"][keep]
             self.parts.append((np.minimum(k1, k2), np.maximum(k1, k2), weight[keep], need[keep]))
