@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvault.llm import near_duplicates
+from corvault.llm import byte_bpe, near_duplicates, packing, splitting
 from corvault.runtime import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_oversized(read(spark, sf_dir, "chunks"), ["row_id"], "text")
+    forced = F.max((F.col("level") == "forced").cast("int")) == 1
+    return pieces.groupBy("row_id").agg(F.when(forced, "forced").otherwise("natural").alias("cut"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk; chunk_index goes on from the chunk's own."""
+    pieces = splitting.split_oversized(read(spark, sf_dir, "chunks"), ["row_id", "doc_id", "chunk_index"], "text")
+    return pieces.select("row_id", "doc_id", (F.coalesce("chunk_index", F.lit(0)) + F.col("piece_no")).alias("chunk_index"), "start", "end", "level", "piece")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_rows(read(spark, sf_dir, "chunks"), "row_id", "text", 0.5, 3)
     return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
@@ -24,6 +36,18 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("row_id"), "class_id", "links")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(read(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ids")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of every document go: containers of 2,048 tokens."""
+    sizes = byte_bpe.count_tokens(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "id", "n", 2048).select(
+        F.col("id").alias("doc_id"), "piece_no", F.col("start").alias("token_from"), F.col("size").alias("n_tokens"), "container_id"
+    )
+
+
 def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -33,7 +57,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (p4_found, p4_groups)}
+    return {f.__name__: _shipped(f) for f in (p2_found, p2_pieces, p4_found, p4_groups, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
