@@ -49,17 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written as a table to a new directory of the shared folder and read from there.
 
-
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as parquet to a new directory of the shared folder and read again."""
+    It survives the loss of executors, and unlike a checkpointed DataFrame it doesn't hold on to
+    the shuffle files that it was made from (see :func:`release`).
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
