@@ -117,14 +117,25 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
 
     groups = checkpoint(joined(rows.select("text").mapInArrow(post, BLOCK_SCHEMA), _pair_rule(threshold)).select("k1", "k2"))
     release(spark)
-    wanted = spark.sparkContext.broadcast(bloom.build(groups.select(F.explode(F.array("k1", "k2")).alias("k"))))
+    return confirm(rows, groups, threshold, k, least_units, sketch)
+
+
+def confirm(rows: DataFrame, candidates: DataFrame, threshold: float, k: int, least_units: int, sketch=None) -> tuple[DataFrame, DataFrame]:
+    """Verifies candidate pairs (k1, k2) on the whole shingle sets.
+
+    With a sketch, k1 and k2 are groups of equal prefix; else they are classes.  Returns pairs and
+    members as :func:`class_pairs` does.
+    """
+    spark = rows.sparkSession
+    wanted = spark.sparkContext.broadcast(bloom.build(candidates.select(F.explode(F.array("k1", "k2")).alias("k"))))
 
     def describe(batches):
         seen: set[int] = set()
         for b, texts in text_batches(batches):
-            s = Sets(texts, sketch.value, threshold, k, least_units)
+            s = Sets(texts, sketch and sketch.value, threshold, k, least_units)
+            group = s.group if sketch else s.key
             has = np.flatnonzero(s.n)
-            hit = bloom.maybe(wanted.value, s.group[has])
+            hit = bloom.maybe(wanted.value, group[has])
             sets: list[bytes | None] = []
             for i, ok in zip(has.tolist(), hit.tolist()):
                 key = int(s.key[i])
@@ -135,11 +146,11 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
                 else:
                     sets.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(has)), pa.array(s.key[has].view(np.int64)), pa.array(s.group[has].view(np.int64)), pa.array(sets, pa.binary())],
+                [b.column(0).take(pa.array(has)), pa.array(s.key[has].view(np.int64)), pa.array(group[has].view(np.int64)), pa.array(sets, pa.binary())],
                 ["id", "key", "grp", "shingles"],
             )
 
-    described = checkpoint(rows.mapInArrow(describe, "id long, key long, grp long, shingles binary"))
+    described = checkpoint(rows.select("id", "text").mapInArrow(describe, "id long, key long, grp long, shingles binary"))
     members = described.select("id", "key")
     parts = shuffle_partitions(spark)
     # partitioned by group only, so that neither the aggregation nor the joins on the group move the sets again
@@ -148,7 +159,7 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
     )
     left = classes.select(F.col("grp").alias("k1"), F.col("key").alias("key_a"), F.col("shingles").alias("sa"))
     right = classes.select(F.col("grp").alias("k2"), F.col("key").alias("key_b"), F.col("shingles").alias("sb"))
-    both = groups.join(left, "k1").join(right, "k2").where("k1 != k2 or key_a < key_b").select("key_a", "key_b", "sa", "sb")
+    both = candidates.join(left, "k1").join(right, "k2").where("k1 != k2 or key_a < key_b").select("key_a", "key_b", "sa", "sb")
     pairs = both.mapInArrow(lambda batches: _verified(batches, threshold), "key_a long, key_b long, similarity double")
     return pairs, members
 

@@ -175,7 +175,11 @@ def joined(blocks: DataFrame, pairs: Callable[[np.ndarray, np.ndarray, np.ndarra
             return
         post = np.concatenate(held)
         held.clear()
-        post = post[np.argsort(post["t"], kind="stable")]
+        post = post[np.lexsort((post["x"], post["k"], post["t"]))]
+        # copies of a record that came from several tasks
+        new = np.ones(len(post), dtype=bool)
+        new[1:] = (post["t"][1:] != post["t"][:-1]) | (post["k"][1:] != post["k"][:-1]) | (post["x"][1:] != post["x"][:-1])
+        post = post[new]
         t = post["t"]
         at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         length = np.diff(np.r_[at, len(t)])

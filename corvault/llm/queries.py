@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvault.llm import byte_bpe, near_duplicates, packing, splitting
+from corvault.llm import batch_dedup, byte_bpe, near_duplicates, packing, shared_spans, splitting
 from corvault.runtime import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = batch_dedup.repeats(read(spark, sf_dir, "chunks"), "row_id", "text", "batch_no", 0.5, 3)
+    return found.select(F.col("accepted_id").alias("accepted_row_id"), F.col("new_id").alias("new_row_id"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(read(spark, sf_dir, "chunks"), ["row_id"], "text")
     forced = F.max((F.col("level") == "forced").cast("int")) == 1
@@ -25,6 +30,16 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("row_id", "doc_id", (F.coalesce("chunk_index", F.lit(0)) + F.col("piece_no")).alias("chunk_index"), "start", "end", "level", "piece")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = shared_spans.sharing_rows(read(spark, sf_dir, "chunks"), "row_id", "text", 120)
+    return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each chunk's text also stands in other chunks."""
+    return shared_spans.shared_part(read(spark, sf_dir, "chunks"), "row_id", "text", 120).withColumnRenamed("id", "row_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_rows(read(spark, sf_dir, "chunks"), "row_id", "text", 0.5, 3)
     return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
@@ -57,7 +72,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (p2_found, p2_pieces, p4_found, p4_groups, p8_ids, p9_containers)}
+    return {f.__name__: _shipped(f) for f in (p1_found, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_groups, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -126,3 +126,14 @@ def shingle_sets(texts: list[str | None], k: int = 3, least: int = 20) -> tuple[
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
         h, owner = h[new], owner[new]
     return h, owner, count
+
+
+def range_hashes(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``cp[begin:end]`` for each pair of borders, equal wherever the content is equal."""
+    n = len(cp)
+    pw, inv = _power_tables(n + 1)
+    v = mix(cp.astype(_U) + _K1)
+    v *= pw[:n]
+    h = np.zeros(n + 1, dtype=_U)
+    np.cumsum(v, out=h[1:])
+    return mix((h[end] - h[begin]) * inv[begin] + (end - begin).astype(_U))
