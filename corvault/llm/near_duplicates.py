@@ -137,38 +137,84 @@ def confirm(rows: DataFrame, candidates: DataFrame, threshold: float, k: int, le
             has = np.flatnonzero(s.n)
             hit = bloom.maybe(wanted.value, group[has])
             sets: list[bytes | None] = []
+            bits: list[bytes | None] = []
             for i, ok in zip(has.tolist(), hit.tolist()):
                 key = int(s.key[i])
                 if ok and key not in seen:
                     if len(seen) < 500_000:
                         seen.add(key)
-                    sets.append(s.h[s.at[i] : s.at[i + 1]].tobytes())
+                    own = s.h[s.at[i] : s.at[i + 1]]
+                    bits.append(_parity_bits(own))
+                    sets.append(np.sort((own >> _U(32)).astype(np.uint32)).tobytes())
                 else:
+                    bits.append(None)
                     sets.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(has)), pa.array(s.key[has].view(np.int64)), pa.array(group[has].view(np.int64)), pa.array(sets, pa.binary())],
-                ["id", "key", "grp", "shingles"],
+                [
+                    b.column(0).take(pa.array(has)),
+                    pa.array(s.key[has].view(np.int64)),
+                    pa.array(group[has].view(np.int64)),
+                    pa.array(s.n[has].astype(np.int32)),
+                    pa.array(bits, pa.binary()),
+                    pa.array(sets, pa.binary()),
+                ],
+                ["id", "key", "grp", "n", "bits", "shingles"],
             )
 
-    described = checkpoint(rows.select("id", "text").mapInArrow(describe, "id long, key long, grp long, shingles binary"))
+    described = checkpoint(rows.select("id", "text").mapInArrow(describe, "id long, key long, grp long, n int, bits binary, shingles binary"))
+    release(spark)
     members = described.select("id", "key")
     parts = shuffle_partitions(spark)
-    # partitioned by group only, so that neither the aggregation nor the joins on the group move the sets again
-    classes = (
-        described.where("shingles is not null").select("grp", "key", "shingles").repartition(parts, "grp").groupBy("grp", "key").agg(F.first("shingles").alias("shingles"))
+    # partitioned by group only, so that neither the aggregation nor the joins on the group move the bits again
+    first = described.where("bits is not null").select("grp", "key", "n", "bits").repartition(parts, "grp").groupBy("grp", "key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    left = first.select(F.col("grp").alias("k1"), F.col("key").alias("key_a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = first.select(F.col("grp").alias("k2"), F.col("key").alias("key_b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    maybe = candidates.join(left, "k1").join(right, "k2").where("k1 != k2 or key_a < key_b").select("key_a", "key_b", "na", "nb", "ba", "bb")
+    close = checkpoint(maybe.mapInArrow(lambda batches: _close(batches, threshold), "key_a long, key_b long"))
+    release(spark)
+    classes = described.where("shingles is not null").select("key", "shingles").repartition(parts, "key").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    both = (
+        close.join(classes.select(F.col("key").alias("key_a"), F.col("shingles").alias("sa")), "key_a")
+        .join(classes.select(F.col("key").alias("key_b"), F.col("shingles").alias("sb")), "key_b")
+        .select("key_a", "key_b", "sa", "sb")
     )
-    left = classes.select(F.col("grp").alias("k1"), F.col("key").alias("key_a"), F.col("shingles").alias("sa"))
-    right = classes.select(F.col("grp").alias("k2"), F.col("key").alias("key_b"), F.col("shingles").alias("sb"))
-    both = candidates.join(left, "k1").join(right, "k2").where("k1 != k2 or key_a < key_b").select("key_a", "key_b", "sa", "sb")
     pairs = both.mapInArrow(lambda batches: _verified(batches, threshold), "key_a long, key_b long, similarity double")
     return pairs, members
 
 
+def _parity_bits(h: np.ndarray) -> bytes:
+    """Parity of the shingles in each of a power of two of cells, at least four for each shingle."""
+    cells = max(64, 1 << (4 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & _U(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _close(batches, threshold):
+    """Drops pairs that surely differ too much: two sets differ in at least as many elements as their parity bits do."""
+    for b in batches:
+        keep = []
+        na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+        most = np.floor((1 - threshold) / (1 + threshold) * (na + nb) + 1e-9)
+        for i, (x, y) in enumerate(zip(b.column(4), b.column(5))):
+            x, y = int.from_bytes(x.as_py(), "little"), int.from_bytes(y.as_py(), "little")
+            wide_x, wide_y = b.column(4)[i].as_buffer().size * 8, b.column(5)[i].as_buffer().size * 8
+            while wide_x != wide_y:
+                if wide_x > wide_y:
+                    wide_x //= 2
+                    x = (x >> wide_x) ^ (x & ((1 << wide_x) - 1))
+                else:
+                    wide_y //= 2
+                    y = (y >> wide_y) ^ (y & ((1 << wide_y) - 1))
+            if (x ^ y).bit_count() <= most[i]:
+                keep.append(i)
+        kept = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], ["key_a", "key_b"])
+
+
 def _verified(batches, threshold):
     for b in batches:
         keep, sims = [], []
         for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-            x, y = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
+            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
             both = np.concatenate([x, y])
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
