@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvault.llm import batch_dedup, byte_bpe, near_duplicates, packing, shared_spans, splitting, vector_forest
+from corvault.llm import batch_dedup, byte_bpe, near_duplicates, packing, shared_spans, splitting, subjects, vector_forest
 from corvault.runtime import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,21 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _areas(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The closed list of subject areas: a fixed table of a dozen rows."""
+    return sorted({r.subject for r in read(spark, sf_dir, "subjects").select("subject").where("subject is not null").collect()})
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subjects.assign(read(spark, sf_dir, "documents"), "doc_id", "text", _areas(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each subject area in the corpus."""
+    return subjects.composition(read(spark, sf_dir, "documents"), "doc_id", "text", _areas(spark, sf_dir))
+
+
 def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -86,7 +101,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (p1_found, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_groups, p6_found, p6_neighbours, p8_ids, p9_containers)}
+    return {f.__name__: _shipped(f) for f in (p1_found, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_groups, p6_found, p6_neighbours, p8_ids, p9_containers, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
