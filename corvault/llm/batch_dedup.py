@@ -24,8 +24,9 @@ from corvault.runtime import checkpoint, release
 _U = np.uint64
 #: One in so many shingles is a boundary.
 SPAN = 3
-#: Least part of the smaller record's shingles in shared spans; the most frequent spans, up to this part of a record, aren't looked up.
-COVERAGE = 0.08
+#: Records whose shared spans cover at least this part of them are surely found: a record's most
+#: frequent spans aren't looked up as long as they cover less than that.
+COVERAGE = 0.25
 _NEW = 1
 
 
@@ -87,8 +88,8 @@ def _rule(a, b, role_a, role_b):
     # in a grid cell a pair counts once: where the smaller key is indexed
     first = a["k"] < b["k"]
     keep &= (np.where(first, role_a, role_b) != 2) & (np.where(first, role_b, role_a) != 1)
-    weight = np.minimum(a["r"], b["r"]).astype(np.int64)
-    return keep, weight, np.maximum(1, np.floor(COVERAGE * small)).astype(np.int64)
+    one = np.ones(len(a), dtype=np.int64)
+    return keep, one, one
 
 
 def repeats(rows: DataFrame, id_col: str, text_col: str, batch_col: str, threshold: float = 0.8, k: int = 5, least_units: int = 20) -> DataFrame:
