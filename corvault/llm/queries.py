@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvault.llm import batch_dedup, byte_bpe, near_duplicates, packing, shared_spans, splitting, subjects, vector_forest
+from corvault.llm import batch_dedup, byte_bpe, markup, near_duplicates, packing, shared_spans, splitting, subjects, vector_forest
 from corvault.runtime import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,15 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_no"), F.col("neighbour").alias("neighbour_vec_no"), F.col("rank").alias("rank_no"), score.alias("score"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.kinds_of(read(spark, sf_dir, "chunks"), "row_id", "text").withColumnRenamed("id", "row_id").distinct()
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's text without markup; headings, lists, code and formulas stay recognisable."""
+    return markup.cleaned(read(spark, sf_dir, "chunks"), "row_id", "text").withColumnRenamed("id", "row_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(read(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ids")
 
@@ -101,7 +110,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (p1_found, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_groups, p6_found, p6_neighbours, p8_ids, p9_containers, p10_found, p10_composition)}
+    return {f.__name__: _shipped(f) for f in (p1_found, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_groups, p6_found, p6_neighbours, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
