@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvault.llm import batch_dedup, byte_bpe, markup, near_duplicates, packing, shared_spans, splitting, subjects, vector_forest
+from corvault.llm import batch_dedup, byte_bpe, markup, near_duplicates, packing, scanned, shared_spans, splitting, subjects, vector_forest
 from corvault.runtime import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,16 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("row_id"), "class_id", "links")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scanned.found(read(spark, sf_dir, "chunks"), "row_id", "text", "file_path", "chunk_index")
+    return found.select(F.col("id").alias("row_id"), "kind", "item")
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned pages as continuous paragraphs."""
+    return scanned.repaired(read(spark, sf_dir, "chunks"), "row_id", "text", "file_path", "chunk_index").withColumnRenamed("id", "row_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vector_forest.neighbours(read(spark, sf_dir, "embedding_cache"), "vec_no", "model_name", "dim", "vec", k=10, least=0.95)
     return near.select(F.least("id", "neighbour").alias("vec_no_a"), F.greatest("id", "neighbour").alias("vec_no_b")).distinct()
@@ -110,7 +120,7 @@ def _shipped(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (p1_found, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_groups, p6_found, p6_neighbours, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_composition)}
+    return {f.__name__: _shipped(f) for f in (p1_found, p2_found, p2_pieces, p3_found, p3_shared, p4_found, p4_groups, p5_found, p5_text, p6_found, p6_neighbours, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
