@@ -30,10 +30,12 @@ from corvault.runtime import checkpoint, release
 CONFUSIONS = (
     ("c", "e"), ("é", "e"), ("f", "t"), ("1", "l"), ("o", "a"), ("l", "i"), ("0", "o"), ("!", "i"), ("cl", "d"), ("5", "s"),
     ("rn", "m"), ("ii", "u"), ("9", "g"), ("b", "h"), ("b", "ti"), ("vv", "w"), ("1", "i"), ("|", "l"), ("|", "i"), ("6", "b"),
-    ("8", "b"), ("I", "l"), ("O", "o"), ("li", "h"), ("nn", "m"), ("á", "a"), ("ó", "o"), ("í", "i"), ("ü", "u"), ("q", "g"),
+    ("8", "b"), ("I", "l"), ("O", "o"), ("h", "li"), ("m", "rn"), ("d", "cl"), ("rm", "nn"), ("nn", "m"), ("á", "a"), ("ó", "o"), ("í", "i"), ("ü", "u"), ("q", "g"),
 )
 #: Longest line of a page of short lines.
 WIDEST = 90
+#: Words of three letters or more that a running header has at most.
+LONGEST_HEADER = 8
 #: A frequent word stands at least so often in texts that aren't scanned, and so many times as often as its misreading.
 FREQUENT, RATIO = 4, 8
 #: Signs at a line end that may break a word.
@@ -230,7 +232,7 @@ def analyse(rows: DataFrame, id_col: str, text_col: str, file_col: str, order_co
     running = running.join(sizes.select("file", "pages"), "file").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * 0.2))).select("file", "w")
     of_line = shaped.select("id", "file", "no", F.size("first_words").alias("words"), F.explode("first_words").alias("w"))
     known = of_line.join(running, ["file", "w"]).groupBy("id", "file", "no").agg(F.count("*").alias("shared"), F.first("words").alias("words"))
-    headed = known.where((F.col("shared") >= 2) & (F.col("shared") >= 0.5 * F.col("words"))).select("id", "file", F.lit(True).alias("running"))
+    headed = known.where((F.col("shared") >= 2) & (F.col("shared") >= 0.5 * F.col("words")) & (F.col("words") <= LONGEST_HEADER)).select("id", "file", F.lit(True).alias("running"))
     # a file is scanned if its rows are mostly such pages and show headers or page numbers
     total = named.where("file is not null").groupBy("file").agg(F.count("*").alias("rows"))
     evidence = shaped.select("file", "id", "page_no", "numbered").join(headed.select("id", "running").distinct(), "id", "left")
