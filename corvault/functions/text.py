@@ -197,12 +197,6 @@ def for_grams(c: Column) -> Column:
     return simplified(F.regexp_replace(c, f"[{SPACE}]", ""))
 
 
-def grams(c: Column, n: int = 8) -> Column:
-    """Distinct ``n``-grams of the normalised text."""
-    t = for_grams(c)
-    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-
-
 def safe_href(c: Column) -> Column:
     """No scheme, or one of http, https, mailto, ftp; control characters in front don't hide a scheme."""
     bare = F.regexp_replace(c, r"^[\x{00}-\x{20}]+", "")
@@ -235,7 +229,7 @@ def format_time(seconds: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(F.format_string("%.1f%%", c * 100))
+    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(F.format_string("%.1f%%", F.round(c * 100, 1)))
 
 
 def format_vector(v: Column) -> Column:
