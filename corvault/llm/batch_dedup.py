@@ -3,8 +3,7 @@
 Method: content-defined chunking.  The rolling hash over three units sets boundaries, so that
 an edit moves only the boundaries next to it; the spans between boundaries are hashed.  A
 persistent table holds which record has which span.  A new record looks its spans up, rarest
-first, adds up what it shares with each record found there, and is compared exactly with those
-that cover enough of it.  Accepted records are appended; history is never chunked again.
+first; the records found there that share enough of it are compared exactly.  Accepted records are appended; history is never chunked again.
 
 Null texts and texts with fewer than ``least_units`` units repeat nothing and are accepted.
 Rows without a batch number are left out.
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corvault.llm.near_duplicates import Sets, confirm
 from corvault.llm.postings import BLOCK_SCHEMA, BlockWriter, bucket_count, frequency_sketch, joined, text_batches
-from corvault.llm.units import mix, shingle_hashes, unit_hashes
+from corvault.llm.units import mix, shingle_hashes, shingle_sets, unit_hashes
 from corvault.runtime import checkpoint, release
 
 _U = np.uint64
@@ -27,6 +26,8 @@ SPAN = 3
 #: Records whose shared spans cover at least this part of them are surely found: a record's most
 #: frequent spans aren't looked up as long as they cover less than that.
 COVERAGE = 0.25
+#: Records with fewer shingles than this are also indexed by spans of one shingle, since few longer ones survive an edit in them.
+FINE = 80
 _NEW = 1
 
 
@@ -44,7 +45,19 @@ def spans(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray
     return span, owner[cut[1:]][same], (cut[1:] - cut[:-1])[same], total
 
 
-def span_table(rows: DataFrame, sketch, k: int, least_units: int) -> DataFrame:
+def fine_spans(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of one shingle of the short texts: hash and number of the text; and the distinct shingles of every text."""
+    h, owner, _ = shingle_sets(texts, k, least_units)
+    n = np.bincount(owner, minlength=len(texts))
+    short = n[owner] < FINE
+    return mix(h[short] ^ _U(0xD6E8FEB86659FD93)), owner[short], n
+
+
+def span_tokens(texts: list[str | None], k: int, least_units: int) -> np.ndarray:
+    return np.concatenate([spans(texts, k, least_units)[0], fine_spans(texts, k, least_units)[0]])
+
+
+def span_table(rows: DataFrame, sketch, k: int, least_units: int, threshold: float) -> DataFrame:
     """The chunk-to-record table of ``rows`` (text, fresh): blocks of postings by bucket, for :func:`joined`.
 
     It may be written and kept; the table of a new batch is appended to it, provided both were made with the same sketch and number of buckets.
@@ -76,6 +89,15 @@ def span_table(rows: DataFrame, sketch, k: int, least_units: int) -> DataFrame:
             looked = before < np.ceil((1 - COVERAGE) * total[owner])
             span, owner, weight = span[looked], owner[looked], weight[looked]
             yield from out.add(span, key[owner], fresh[owner], total[owner], weight)
+            fine, owner, n = fine_spans(texts, k, least_units)
+            m = once[owner]
+            fine, owner = fine[m], owner[m]
+            order = np.lexsort((fine, sketch.value[(fine & _U(len(sketch.value) - 1)).astype(np.int64)], owner))
+            fine, owner = fine[order], owner[order]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(texts)))[owner]
+            looked = rank < n[owner] - np.ceil(threshold * n[owner] - 1e-9) + 1
+            fine, owner = fine[looked], owner[looked]
+            yield from out.add(fine, key[owner], fresh[owner], total[owner], np.ones(len(fine), dtype=np.int64))
         yield from out.flush()
 
     return rows.select("text", "fresh").mapInArrow(post, BLOCK_SCHEMA)
@@ -84,7 +106,7 @@ def span_table(rows: DataFrame, sketch, k: int, least_units: int) -> DataFrame:
 def _rule(a, b, role_a, role_b):
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
     small = np.minimum(na, nb)
-    keep = (a["k"] != b["k"]) & (((a["x"] | b["x"]) & _NEW) == _NEW) & (2 * small >= np.maximum(na, nb) * 0.9)
+    keep = (a["k"] != b["k"]) & (((a["x"] | b["x"]) & _NEW) == _NEW)
     # in a grid cell a pair counts once: where the smaller key is indexed
     first = a["k"] < b["k"]
     keep &= (np.where(first, role_a, role_b) != 2) & (np.where(first, role_b, role_a) != 1)
@@ -102,10 +124,10 @@ def repeats(rows: DataFrame, id_col: str, text_col: str, batch_col: str, thresho
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(batch_col).cast("int").alias("batch")).where(
         "id is not null and text is not null and batch is not null"
     )
-    sketch = spark.sparkContext.broadcast(frequency_sketch(rows, lambda texts: spans(texts, k, least_units)[0]))
+    sketch = spark.sparkContext.broadcast(frequency_sketch(rows, lambda texts: span_tokens(texts, k, least_units)))
     release(spark)
-    history = span_table(rows.where("batch = 0").select("text", F.lit(0).alias("fresh")), sketch, k, least_units)
-    new = span_table(rows.where("batch > 0").select("text", F.lit(_NEW).alias("fresh")), sketch, k, least_units)
+    history = span_table(rows.where("batch = 0").select("text", F.lit(0).alias("fresh")), sketch, k, least_units, threshold)
+    new = span_table(rows.where("batch > 0").select("text", F.lit(_NEW).alias("fresh")), sketch, k, least_units, threshold)
     found = checkpoint(joined(history.unionByName(new), _rule).select("k1", "k2"))
     release(spark)
     pairs, members = confirm(rows.select("id", "text"), found, threshold, k, least_units)

@@ -340,7 +340,7 @@ def _mended(text: str, header: bool, numbered: bool, begun: bool, joins: dict, o
             continue
         s = line.strip()
         if pending:
-            s = re.sub(r"^[^\s.,;:?()\[\]\"“”'/]+", "", s)
+            s = re.sub(r"^[^\s.,;:?()\[\]\"“”'/]+", "", s).lstrip()
             pending = False
         stem = _stem(s)
         nxt = next((x for x in lines[i + 1 :] if x.strip()), None)

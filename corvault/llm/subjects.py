@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvault.runtime import checkpoint
+
 #: Weight of a term of one subject, and of a term that several share.
 OWN, SHARED = 1.0, 0.75
 #: Weight that makes a sentence one about the subject.
@@ -177,8 +179,9 @@ def composition(rows: DataFrame, id_col: str, text_col: str, chosen: list[str])
     spark = rows.sparkSession
     base = rows.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("chars"), F.col(text_col).alias("text"))
     own = F.struct("id", "chars")
-    found = assign(base.select(own.alias("own"), "text"), "own", "text", chosen).select("id.chars", "subject").groupBy("subject").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
-    some = assign(base.select(own.alias("own"), "text"), "own", "text", chosen).select("id.id").distinct().count()
+    said = checkpoint(assign(base.select(own.alias("own"), "text"), "own", "text", chosen).select("id.id", "id.chars", "subject"))
+    found = said.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
+    some = said.select("id").distinct().count()
     total = base.count()
     names = spark.createDataFrame([(s,) for s in chosen], "subject string")
     listed = names.join(found, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
