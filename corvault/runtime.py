@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import io
 import os
 import tempfile
 import uuid
@@ -12,20 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
+    """Give the executors' Python workers this package, once for each application, through the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_corvault_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    fd, name = tempfile.mkstemp(prefix="corvault-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, files in os.walk(root):
             for f in files:
                 if not f.endswith(".pyc"):
                     path = os.path.join(folder, f)
                     z.write(path, os.path.join("corvault", os.path.relpath(path, root)))
-    sc.addPyFile(name)
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corvault-{uuid.uuid4().hex}.zip")
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(at, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(at).toString())
     sc._corvault_shipped = True
 
 
