@@ -28,7 +28,7 @@ SPAN = 3
 COVERAGE = 0.25
 #: Records with fewer shingles than this are also indexed by spans of one shingle, since few longer ones survive an edit in them.
 FINE = 80
-_NEW = 1
+_NEW, _SINGLE = 1, 2
 
 
 def spans(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,30 +88,37 @@ def span_table(rows: DataFrame, sketch, k: int, least_units: int, threshold: flo
             before = before - before[np.minimum(first[owner], max(0, len(before) - 1))]
             looked = before < np.ceil((1 - COVERAGE) * total[owner])
             span, owner, weight = span[looked], owner[looked], weight[looked]
-            yield from out.add(span, key[owner], fresh[owner], total[owner], weight)
-            fine, owner, n = fine_spans(texts, k, least_units)
+            fine, fine_owner, n = fine_spans(texts, k, least_units)
+            yield from out.add(span, key[owner], fresh[owner], n[owner], weight)
+            owner = fine_owner
             m = once[owner]
             fine, owner = fine[m], owner[m]
             order = np.lexsort((fine, sketch.value[(fine & _U(len(sketch.value) - 1)).astype(np.int64)], owner))
             fine, owner = fine[order], owner[order]
             rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(texts)))[owner]
             looked = rank < n[owner] - np.ceil(threshold * n[owner] - 1e-9) + 1
-            fine, owner = fine[looked], owner[looked]
-            yield from out.add(fine, key[owner], fresh[owner], total[owner], np.ones(len(fine), dtype=np.int64))
+            fine, owner, rank = fine[looked], owner[looked], rank[looked]
+            yield from out.add(fine, key[owner], fresh[owner] | _SINGLE, n[owner], n[owner] - rank)
         yield from out.flush()
 
     return rows.select("text", "fresh").mapInArrow(post, BLOCK_SCHEMA)
 
 
-def _rule(a, b, role_a, role_b):
-    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    small = np.minimum(na, nb)
-    keep = (a["k"] != b["k"]) & (((a["x"] | b["x"]) & _NEW) == _NEW)
-    # in a grid cell a pair counts once: where the smaller key is indexed
-    first = a["k"] < b["k"]
-    keep &= (np.where(first, role_a, role_b) != 2) & (np.where(first, role_b, role_a) != 1)
-    one = np.ones(len(a), dtype=np.int64)
-    return keep, one, one
+def _rule(threshold: float):
+    """Pairs with a new record whose sizes allow the similarity; two that meet on a single shingle must also have enough of them left behind it."""
+
+    def rule(a, b, role_a, role_b):
+        na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+        keep = (a["k"] != b["k"]) & (((a["x"] | b["x"]) & _NEW) == _NEW) & (np.minimum(na, nb) >= np.ceil(threshold * np.maximum(na, nb) - 1e-9))
+        # in a grid cell a pair counts once: where the smaller key is indexed
+        first = a["k"] < b["k"]
+        keep &= (np.where(first, role_a, role_b) != 2) & (np.where(first, role_b, role_a) != 1)
+        need = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+        keep &= ((a["x"] & _SINGLE) == 0) | (np.minimum(a["r"], b["r"]) >= need)
+        one = np.ones(len(a), dtype=np.int64)
+        return keep, one, one
+
+    return rule
 
 
 def repeats(rows: DataFrame, id_col: str, text_col: str, batch_col: str, threshold: float = 0.8, k: int = 5, least_units: int = 20) -> DataFrame:
@@ -128,7 +135,7 @@ def repeats(rows: DataFrame, id_col: str, text_col: str, batch_col: str, thresho
     release(spark)
     history = span_table(rows.where("batch = 0").select("text", F.lit(0).alias("fresh")), sketch, k, least_units, threshold)
     new = span_table(rows.where("batch > 0").select("text", F.lit(_NEW).alias("fresh")), sketch, k, least_units, threshold)
-    found = checkpoint(joined(history.unionByName(new), _rule).select("k1", "k2"))
+    found = checkpoint(joined(history.unionByName(new), _rule(threshold)).select("k1", "k2"))
     release(spark)
     pairs, members = confirm(rows.select("id", "text"), found, threshold, k, least_units)
     pairs = checkpoint(pairs)

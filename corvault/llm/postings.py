@@ -26,7 +26,7 @@ _SKETCH_BLOCK = 1 << 16
 #: A token with more records than this is spread over a grid of cells.
 HOT = 20_000
 #: Code points that are hashed in one step.
-STEP = 1_000_000
+STEP = 500_000
 
 POSTING = np.dtype([("t", "<u4"), ("k", "<u8"), ("x", "<u2"), ("n", "<u4"), ("r", "<u4")])
 BLOCK_SCHEMA = "bucket int, block binary"
