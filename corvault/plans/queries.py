@@ -460,26 +460,26 @@ def summary_vectors(spark, sf_dir):
 
 # Literal signs
 
-_GRAMS = f"""t AS (SELECT row_id, batch_no, file_path, translate({_re('text', f'[{S}]')}, '{T.TRADITIONAL}', '{T.SIMPLIFIED}') AS t FROM chunks WHERE batch_no IN (0, 4)),
+_GRAMS = f"""t AS (SELECT row_id, batch_no, file_path, translate({_re('text', f'[{S}]')}, '{T.TRADITIONAL}', '{T.SIMPLIFIED}') AS t FROM chunks WHERE batch_no >= 0),
     g AS (SELECT row_id, batch_no, file_path, unnest(range(0, length(t) - 7)) AS pos, substring(t, unnest(range(0, length(t) - 7))::INT + 1, 8) AS gram FROM t WHERE length(t) >= 8)"""
 
 
 def _grams(spark, sf_dir):
     c = read(spark, sf_dir, "chunks")
-    new = literal.positions(c.where("batch_no = 4"), "row_id", "text")
+    new = literal.positions(c.where("batch_no > 0"), "row_id", "text")
     old = c.where("batch_no = 0").select(F.struct("row_id", "file_path").alias("k"), "text")
     return new, literal.positions(old, "k", "text").select(F.col("id.file_path").alias("doc"), "gram")
 
 
-@query(f"""WITH {_GRAMS}, q AS (SELECT DISTINCT row_id, gram FROM g WHERE batch_no = 4), i AS (SELECT DISTINCT gram FROM g WHERE batch_no = 0)
+@query(f"""WITH {_GRAMS}, q AS (SELECT DISTINCT row_id, gram FROM g WHERE batch_no > 0), i AS (SELECT DISTINCT gram FROM g WHERE batch_no = 0)
     SELECT row_id, count(*) AS grams, count(i.gram) AS hits, round(count(i.gram) / count(*), 6) AS overlap FROM q LEFT JOIN i USING (gram) GROUP BY row_id""")
 def overlap_with_history(spark, sf_dir):
-    """The part of the 8-grams of the newest batch that stand anywhere in the history."""
+    """The part of the 8-grams of the new batches that stand anywhere in the history."""
     new, old = _grams(spark, sf_dir)
     return literal.overlap_with_index(new, old).select(F.col("id").alias("row_id"), "grams", "hits", F.round("overlap", 6).alias("overlap"))
 
 
-@query(f"""WITH {_GRAMS}, i AS (SELECT DISTINCT file_path AS doc, gram FROM g WHERE batch_no = 0), h AS (SELECT row_id, doc, pos FROM g JOIN i USING (gram) WHERE batch_no = 4),
+@query(f"""WITH {_GRAMS}, i AS (SELECT DISTINCT file_path AS doc, gram FROM g WHERE batch_no = 0), h AS (SELECT row_id, doc, pos FROM g JOIN i USING (gram) WHERE batch_no > 0),
     s AS (SELECT *, pos - row_number() OVER (PARTITION BY row_id, doc ORDER BY pos) AS island FROM h), r AS (SELECT row_id, doc, island, count(*) + 7 AS run FROM s GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY run DESC, doc) AS n FROM r) SELECT row_id, doc, run FROM b WHERE n = 1""")
 def longest_run_in_history(spark, sf_dir):
