@@ -172,7 +172,14 @@ def confirm(rows: DataFrame, candidates: DataFrame, threshold: float, k: int, le
     maybe = candidates.join(left, "k1").join(right, "k2").where("k1 != k2 or key_a < key_b").select("key_a", "key_b", "na", "nb", "ba", "bb")
     close = checkpoint(maybe.mapInArrow(lambda batches: _close(batches, threshold), "key_a long, key_b long"))
     release(spark)
-    classes = described.where("shingles is not null").select("key", "shingles").repartition(parts, "key").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    linked = spark.sparkContext.broadcast(bloom.build(close.select(F.explode(F.array("key_a", "key_b")).alias("k"))))
+
+    def of_links(batches):
+        for b in batches:
+            yield b.filter(pa.array(bloom.maybe(linked.value, b.column(0).to_numpy().view(_U))))
+
+    sets = described.where("shingles is not null").select("key", "shingles").mapInArrow(of_links, "key long, shingles binary")
+    classes = sets.repartition(parts, "key").groupBy("key").agg(F.first("shingles").alias("shingles"))
     both = (
         close.join(classes.select(F.col("key").alias("key_a"), F.col("shingles").alias("sa")), "key_a")
         .join(classes.select(F.col("key").alias("key_b"), F.col("shingles").alias("sb")), "key_b")
