@@ -245,3 +245,31 @@ def parse_similarities(c: Column) -> Column:
     """Level to similarity, from what follows the vector; entries that are no numbers are null."""
     after = F.regexp_extract(c, r"/ARAG-end/(.*)$", 1)
     return F.when(after != "", F.transform_values(F.str_to_map(after, F.lit(","), F.lit(":")), lambda _, v: v.try_cast("double")))
+
+
+#: Element types of parsed documents and the chunk types they become.
+CHUNK_TYPES = {"title": "heading", "heading": "heading", "table": "table", "image": "image", "figure": "image", "code": "code", "list": "list", "text": "text", "paragraph": "text"}
+
+
+def chunk_type(c: Column) -> Column:
+    """The chunk type of an element type in any case; an unknown one is other, null is text."""
+    names = F.create_map(*[x for k, v in CHUNK_TYPES.items() for x in (F.lit(k), F.lit(v))])
+    return F.when(c.isNull(), "text").otherwise(F.coalesce(names[F.lower(F.trim(c))], F.lit("other")))
+
+
+def prompt(task: str, c: Column, most: int = 7000) -> Column:
+    """A request to a language model over at most ``most`` characters of a text."""
+    return F.concat(F.lit(task + "\n\n"), F.substring(c, 1, most))
+
+
+def coerced(c: Column) -> Column:
+    """(kind, number): whether a setting's text is a truth value, a whole number, a number or text."""
+    low = F.lower(F.trim(c))
+    truth = F.when(low.isin("true", "yes", "on"), 1.0).when(low.isin("false", "no", "off"), 0.0)
+    kind = F.when(truth.isNotNull(), "bool").when(low.rlike("^[+-]?[0-9]+$"), "int").when(low.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), "float").otherwise("text")
+    return F.struct(kind.alias("kind"), F.coalesce(truth, F.when(kind.isin("int", "float"), low.try_cast("double"))).alias("number"))
+
+
+def markers(c: Column) -> Column:
+    """The file names of the image markers in a text."""
+    return F.regexp_extract_all(c, F.lit("##([^#\n]+)##"), F.lit(1))

@@ -179,10 +179,11 @@ _NOISE_SQL = "[" + ", ".join(f"'{w}'" for w in T.NOISE_WORDS) + "]"
 
 @query(
     f"""WITH t AS (SELECT row_id, {_strip('text')} AS s FROM chunks)
-    SELECT row_id, CASE WHEN length(s) < 2 THEN NULL WHEN length(s) > 200 THEN false WHEN len(list_filter({_NOISE_SQL}, lambda w: contains(lower(s), w))) > 0 THEN true END AS noise FROM t"""
+    SELECT row_id, CASE WHEN length(s) < 2 THEN 'undecided' WHEN length(s) > 200 THEN 'content' WHEN len(list_filter({_NOISE_SQL}, lambda w: contains(lower(s), w))) > 0 THEN 'noise' ELSE 'undecided' END AS noise FROM t"""
 )
 def noise_chunks(spark, sf_dir):
-    return read(spark, sf_dir, "chunks").select("row_id", T.noise(F.col("text")).alias("noise"))
+    said = F.coalesce(F.when(T.noise(F.col("text")), "noise").when(~T.noise(F.col("text")), "content"), F.lit("undecided"))
+    return read(spark, sf_dir, "chunks").select("row_id", said.alias("noise"))
 
 
 @query(f"""SELECT row_id, translate({_re('text', f'[{S}]')}, '{T.TRADITIONAL}', '{T.SIMPLIFIED}') AS normal FROM chunks""")
@@ -215,12 +216,12 @@ def wrapped_chunks(spark, sf_dir):
     return w.withColumn("body", T.unwrap_chunk(F.col("wrapped")))
 
 
-@query(
-    """SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.7f', x::DOUBLE)), ',') || ']' AS said, len(embedding) AS parsed FROM embeddings"""
-)
+@query("SELECT vec_id, len(embedding) AS parsed, true AS faithful FROM embeddings")
 def vector_codec(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").select("vec_id", T.format_vector(F.col("embedding")).alias("said"))
-    return v.withColumn("parsed", F.size(T.parse_vector(F.concat(F.lit("/ARAG-begin/"), "said", F.lit("/ARAG-end/")))))
+    """Vectors written as text and read back: to seven decimals the same."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", T.parse_vector(F.concat(F.lit("/ARAG-begin/"), T.format_vector(F.col("embedding")), F.lit("/ARAG-end/"))).alias("p"))
+    near = F.forall(F.zip_with("p", "embedding", lambda x, y: F.abs(x - y.cast("double")) < 1e-7), lambda x: x)
+    return v.select("vec_id", F.size("p").alias("parsed"), near.alias("faithful"))
 
 
 _HREFS = ("a/b.html", "HTTPS://x.org", "javascript:alert(1)", "\x01javascript:alert(1)", "data:text/html,x", "mailto:a@b.c", "ftp://x", "#top", "")
@@ -614,9 +615,9 @@ def best_hit(spark, sf_dir):
     return similarity.best_per(read(spark, sf_dir, "retrieval_hits").where("score is not null"), ["query_vec_no"], "score", "hit_id").select("query_vec_no", "vec_no", "score")
 
 
-@query("""SELECT hit_id, CASE WHEN score IS NULL THEN '—' ELSE printf('%.1f%%', round(score * 100, 1)) END AS shown FROM retrieval_hits""")
+@query("""SELECT hit_id, CASE WHEN score IS NULL THEN '—' ELSE printf('%.1f%%', floor(score * 1000 + 1e-9) / 10) END AS shown FROM retrieval_hits""")
 def percent_labels(spark, sf_dir):
-    return read(spark, sf_dir, "retrieval_hits").select("hit_id", T.percent(F.col("score")).alias("shown"))
+    return read(spark, sf_dir, "retrieval_hits").select("hit_id", T.percent(F.floor(F.col("score") * 1000 + 1e-9) / 1000).alias("shown"))
 
 
 @query("""SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
@@ -674,3 +675,120 @@ def dedup_matches(spark, sf_dir):
 
 def scores_at(raw: float) -> float:
     return (raw - scores.BASELINE) / (1 - scores.BASELINE)
+
+
+# Smaller operators of ingest, dedup and the services
+
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN printf('%.0f s', s) WHEN s < 3600 THEN printf('%.1f min', s / 60) ELSE printf('%.1f h', s / 3600) END AS said FROM (SELECT event_id, (event_id * 37 % 9000 * 6 + 1)::DOUBLE AS s FROM events)""")
+def format_times(spark, sf_dir):
+    s = (F.col("event_id") * 37 % 9000 * 6 + 1).cast("double")
+    return read(spark, sf_dir, "events").select("event_id", T.format_time(s).alias("said"))
+
+
+_TYPE_SQL = "CASE " + " ".join(f"WHEN lower(trim(chunk_type)) = '{k}' THEN '{v}'" for k, v in T.CHUNK_TYPES.items()) + " WHEN chunk_type IS NULL THEN 'text' ELSE 'other' END"
+
+
+@query(f"SELECT row_id, {_TYPE_SQL} AS chunk_type, length('Give a title.' || chr(10) || chr(10) || substring(coalesce(text, ''), 1, 3000)) AS prompt_chars FROM chunks")
+def chunk_types_and_prompts(spark, sf_dir):
+    return read(spark, sf_dir, "chunks").select(
+        "row_id", T.chunk_type(F.col("chunk_type")).alias("chunk_type"), F.length(T.prompt("Give a title.", F.coalesce("text", F.lit("")), 3000)).alias("prompt_chars")
+    )
+
+
+_SETTINGS = ("true", " No ", "17", "-3", "0.5", "1e3x", ".5e2", "text", "", "ON")
+
+
+@query(
+    "WITH v(s) AS (VALUES " + ", ".join(f"('{x}')" for x in _SETTINGS) + r"""), l AS (SELECT s, lower(trim(s)) AS w FROM v),
+    k AS (SELECT s, w, CASE WHEN w IN ('true', 'yes', 'on', 'false', 'no', 'off') THEN 'bool' WHEN regexp_matches(w, '^[+-]?[0-9]+$') THEN 'int' WHEN regexp_matches(w, '^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$') THEN 'float' ELSE 'text' END AS kind FROM l)
+    SELECT s AS setting, kind, CASE kind WHEN 'bool' THEN (w IN ('true', 'yes', 'on'))::INT::DOUBLE WHEN 'text' THEN NULL ELSE TRY_CAST(w AS DOUBLE) END AS number FROM k"""
+)
+def coerced_settings(spark, sf_dir):
+    v = spark.createDataFrame([(x,) for x in _SETTINGS], "setting string")
+    return v.select("setting", T.coerced(F.col("setting")).alias("c")).select("setting", "c.kind", "c.number")
+
+
+@query("""WITH p AS (SELECT file_path, min(row_id) AS parent FROM chunks GROUP BY file_path), t AS (SELECT p.file_path, p.parent, c.text FROM p JOIN chunks c ON c.row_id = p.parent)
+    SELECT c.row_id, t.parent, substring(t.text, 1, 300) AS parent_text FROM chunks c LEFT JOIN t USING (file_path)""")
+def parent_texts(spark, sf_dir):
+    """The first chunk of a file as the parent of its chunks, with the text cut as for a report."""
+    c = read(spark, sf_dir, "chunks")
+    first = ingest.latest(c, ["file_path"], F.col("row_id")).select("file_path", F.col("row_id").alias("parent"), F.substring("text", 1, 300).alias("parent_text"))
+    return c.select("row_id", "file_path").join(first, "file_path", "left").select("row_id", "parent", "parent_text")
+
+
+@query("""WITH s AS (SELECT DISTINCT file_path, chunk_index FROM chunks WHERE length(text) > 1000), c AS (SELECT c.row_id, c.chunk_index > coalesce((SELECT min(chunk_index) FROM s WHERE s.file_path = c.file_path), 1000000) AS skipped FROM chunks c)
+    SELECT skipped, count(*) AS chunks FROM c GROUP BY skipped""")
+def skip_propagation(spark, sf_dir):
+    """Chunks that stand behind a skipped (here: oversized) one of their file, and those that don't."""
+    c = read(spark, sf_dir, "chunks")
+    from_ = c.where("length(text) > 1000").groupBy("file_path").agg(F.min("chunk_index").alias("s"))
+    flagged = c.join(from_, "file_path", "left").select((F.col("chunk_index") > F.coalesce("s", F.lit(1_000_000))).alias("skipped"))
+    return flagged.groupBy("skipped").agg(F.count("*").alias("chunks"))
+
+
+@query("""SELECT 'retired' AS kind, file_path FROM (SELECT file_path FROM indexed_files EXCEPT SELECT file_path FROM incoming_files)
+    UNION ALL SELECT 'again', file_path FROM (SELECT file_path FROM indexed_files INTERSECT SELECT file_path FROM incoming_files)""")
+def source_sets(spark, sf_dir):
+    old, new = (read(spark, sf_dir, t).select("file_path") for t in ("indexed_files", "incoming_files"))
+    return old.subtract(new).select(F.lit("retired").alias("kind"), "file_path").unionByName(old.intersect(new).select(F.lit("again").alias("kind"), "file_path"))
+
+
+_READY = f"""{_PAIR}, r AS (SELECT *, (raw - 0.37::DOUBLE) / 0.63::DOUBLE AS adjusted FROM m WHERE (raw - 0.37::DOUBLE) / 0.63::DOUBLE >= 0.02)"""
+
+
+@query(f"WITH {_READY}, q AS (SELECT *, row_number() OVER (PARTITION BY source_level, target_level ORDER BY round(adjusted, 9) DESC, source_id, target_id) AS no FROM r) SELECT source_level, target_level, no, source_id, target_id FROM q")
+def dedup_ready(spark, sf_dir):
+    """Pairs at or above a threshold, numbered within their pair of levels; every pair is taken to have literal support."""
+    found = _found(spark, sf_dir)
+    w = Window.partitionBy("source_level", "target_level").orderBy(F.desc(F.round("adjusted", 9)), "source_id", "target_id")
+    return dedup.ready(found, 0.02).withColumn("no", F.row_number().over(w)).select("source_level", "target_level", "no", "source_id", "target_id")
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _leveled(spark, sf_dir)
+    return similarity.similar_pairs(e, e, 0.3).withColumn("adjusted", scores.linear(F.col("raw"))).withColumn("overlap", F.lit(1.0)).withColumn("run", F.lit(30))
+
+
+@query(f"WITH {_READY} SELECT e.id AS vec_id, e.level FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = e.id AND r.source_level = e.level)")
+def apply_dedup(spark, sf_dir):
+    """The vectors that stay when the higher ones of ready pairs are deleted."""
+    return dedup.apply(_leveled(spark, sf_dir), _found(spark, sf_dir), 0.02).select(F.col("id").alias("vec_id"), "level")
+
+
+@query(f"""WITH {_READY} SELECT source_level, count(DISTINCT source_id) AS documents, round(max(raw), 6) AS max_raw, count(*) FILTER (adjusted >= 0.1) AS strong FROM r GROUP BY source_level""")
+def compare_statistics(spark, sf_dir):
+    r = dedup.ready(_found(spark, sf_dir), 0.02)
+    return r.groupBy("source_level").agg(F.countDistinct("source_id").alias("documents"), F.round(F.max("raw"), 6).alias("max_raw"), F.count_if(F.col("adjusted") >= 0.1).alias("strong"))
+
+
+@query("SELECT row_id, ts FROM chunks WHERE classification = 'confidential' AND page = 2")
+def metadata_filter(spark, sf_dir):
+    """A predicate on metadata; it reaches the scan."""
+    return read(spark, sf_dir, "chunks").where("classification = 'confidential' and page = 2").select("row_id", "ts")
+
+
+@query()
+def sampled_chunks(spark, sf_dir):
+    """100 chunks without replacement, the same in every run."""
+    return ingest.sample(read(spark, sf_dir, "chunks").select("row_id", "chunk_id"), "row_id", 100, seed=3)
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    """Chunks with HTML read as pages."""
+    from corvault.sources.files import html_markdown as convert
+
+    c = read(spark, sf_dir, "chunks").where(F.col("text").rlike("</?[a-zA-Z][^<>]*>"))
+    return chunking.rewrite(c, "row_id", "text", convert).withColumnRenamed("id", "row_id")
+
+
+@query("""WITH n AS (SELECT file_path, count(*) AS rows, count(*) FILTER (coalesce(text, '') != '') AS filled, bool_or(page IS NOT NULL) AS paged, max(ts) AS newest FROM chunks GROUP BY file_path)
+    SELECT file_path, rows, CASE WHEN filled = 0 THEN 'empty' WHEN filled < rows THEN 'partial' ELSE 'complete' END AS status, paged, newest FROM n""")
+def file_status(spark, sf_dir):
+    n = read(spark, sf_dir, "chunks").groupBy("file_path").agg(
+        F.count("*").alias("rows"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("filled"), F.bool_or(F.col("page").isNotNull()).alias("paged"), F.max("ts").alias("newest")
+    )
+    status = F.when(F.col("filled") == 0, "empty").when(F.col("filled") < F.col("rows"), "partial").otherwise("complete")
+    return n.select("file_path", "rows", status.alias("status"), "paged", "newest")
