@@ -237,7 +237,7 @@ def format_vector(v: Column) -> Column:
 
 
 def parse_vector(c: Column) -> Column:
-    """The numbers between the vector's marks; null where the text isn't such a vector."""
+    """The numbers between the vector's marks (fixed values of the exchange format); null where the text isn't such a vector."""
     return F.from_json(F.regexp_extract(c, r"/ARAG-begin/(\[[^\]]*\])/ARAG-end/", 1), "array<double>")
 
 
