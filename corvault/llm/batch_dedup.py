@@ -2,8 +2,9 @@
 
 Method: content-defined chunking.  The rolling hash over three units sets boundaries, so that
 an edit moves only the boundaries next to it; the spans between boundaries are hashed.  A
-persistent table holds which record has which span.  A new record looks its spans up, rarest
-first; the records found there that share enough of it are compared exactly.  Accepted records are appended; history is never chunked again.
+table holds which record has which span.  A new record looks its spans up, rarest first.  An edit
+in every few units leaves few spans, so each record is also indexed by spans of one shingle, with
+a prefix filter that loses no pair.  The records found are compared exactly.
 
 Null texts and texts with fewer than ``least_units`` units repeat nothing and are accepted.
 Rows without a batch number are left out.
@@ -23,11 +24,8 @@ from corvault.runtime import checkpoint, release
 _U = np.uint64
 #: One in so many shingles is a boundary.
 SPAN = 3
-#: Records whose shared spans cover at least this part of them are surely found: a record's most
-#: frequent spans aren't looked up as long as they cover less than that.
+#: A record's most frequent spans aren't looked up as long as they cover less than this part of it; the spans of one shingle find such pairs.
 COVERAGE = 0.25
-#: Records with fewer shingles than this are also indexed by spans of one shingle, since few longer ones survive an edit in them.
-FINE = 80
 _NEW, _SINGLE = 1, 2
 
 
@@ -46,11 +44,9 @@ def spans(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray
 
 
 def fine_spans(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of one shingle of the short texts: hash and number of the text; and the distinct shingles of every text."""
+    """Spans of one shingle of the texts: hash and number of the text; and the distinct shingles of every text."""
     h, owner, _ = shingle_sets(texts, k, least_units)
-    n = np.bincount(owner, minlength=len(texts))
-    short = n[owner] < FINE
-    return mix(h[short] ^ _U(0xD6E8FEB86659FD93)), owner[short], n
+    return mix(h ^ _U(0xD6E8FEB86659FD93)), owner, np.bincount(owner, minlength=len(texts))
 
 
 def span_tokens(texts: list[str | None], k: int, least_units: int) -> np.ndarray:

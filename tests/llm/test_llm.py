@@ -112,6 +112,20 @@ def test_batches_against_history(rows, texts):
     assert got == expected
 
 
+def test_long_texts_edited_evenly_repeat_their_originals(spark):
+    """A word in ten edited: the spans shared with the original are its most frequent ones and cover little of it."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    old = [rng.choices(words, k=rng.randint(90, 400)) for _ in range(120)]
+    new = [[rng.choice(words) if i % 10 == at else w for i, w in enumerate(t)] for t in old for at in (rng.randrange(10),)]
+    texts = [" ".join(t) for t in [*old, *new]]
+    expected = {(i, 120 + i) for i in range(120) if similarity(texts[i], texts[120 + i]) >= 0.5}
+    assert len(expected) > 100
+    rows = spark.createDataFrame([(i, t, i // 120) for i, t in enumerate(texts)], "id long, text string, batch int")
+    got = {(r.accepted_id, r.new_id) for r in batch_dedup.repeats(rows, "id", "text", "batch", 0.5, 3).collect()}
+    assert got == expected
+
+
 def test_split_text():
     rng = random.Random(1)
     for _ in range(200):
