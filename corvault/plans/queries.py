@@ -631,37 +631,42 @@ def event_windows(spark, sf_dir):
 # Composite plans
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted chunks with text as a corpus (id, level, doc, vec, text)."""
-    c = ingest.canonical(read(spark, sf_dir, "chunks").where("batch_no = 0")).where("text != ''")
+def _corpus(spark: SparkSession, sf_dir: str, rows: str = "batch_no = 0") -> DataFrame:
+    """Chunks with text as a corpus (id, level, doc, vec, text); the accepted ones if not said otherwise."""
+    c = ingest.canonical(read(spark, sf_dir, "chunks").where(rows)).where("text != ''")
     return c.select(F.col("row_id").alias("id"), "level", F.col("document_name").alias("doc"), embedding.get()(F.col("text")).alias("vec"), "text")
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: new chunks whose number is divisible by 50."""
-    c = ingest.canonical(read(spark, sf_dir, "chunks").where("batch_no > 0 and row_id % 50 = 0")).where("text != ''")
-    return c.select("row_id", F.col("file_path").alias("doc"), F.col("chunk_index").alias("idx"), F.col("id").alias("doc_id"), embedding.get()(F.col("text")).alias("vec"), "text")
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All new documents: their chunks as parents, and children cut from them; a chunk delivered again counts once."""
+    c = ingest.canonical(read(spark, sf_dir, "chunks").where("batch_no > 0")).where("text != ''")
+    c = ingest.latest(c, ["file_path", "chunk_index"], F.col("row_id")).select(F.col("file_path").alias("doc"), F.col("chunk_index").alias("idx"), F.col("id").alias("doc_id"), "text")
+    cut = chunking.chunk(c.select(F.struct("doc", "idx", "doc_id").alias("own"), "text"), "own", "text", chunking.recursive(500, 60))
+    number = F.row_number().over(Window.partitionBy("id.doc").orderBy("id.idx", "chunk_index")) - 1
+    children = cut.select("id.doc", number.alias("idx"), "id.doc_id", "text")
+    vec = embedding.get()(F.col("text"))
+    return c.withColumn("vec", vec), children.withColumn("vec", vec)
 
 
 @query()
 def search(spark, sf_dir):
-    """Nearest accepted chunks of each level for the query set."""
-    hits = similarity.nearest(_asked(spark, sf_dir).select(F.col("row_id").alias("id"), F.lit("query").alias("level"), "vec"), checkpoint(_corpus(spark, sf_dir)), 5)
+    """Nearest chunks of each level, of all, for the chunks whose number is divisible by 50."""
+    corpus = checkpoint(_corpus(spark, sf_dir, "true"))
+    hits = similarity.nearest(corpus.where("id % 50 = 0").select("id", F.lit("query").alias("level"), "vec"), corpus, 5)
     return hits.select(F.col("query_id").alias("row_id"), "level", F.col("id").alias("hit_row_id"), "rank", F.round(scores.raw_similarity(F.col("distance")), 4).alias("raw"))
 
 
 @query()
 def compare_documents(spark, sf_dir):
-    """Documents of the query set against the accepted corpus, from the whole to the parts."""
-    asked = checkpoint(_asked(spark, sf_dir))
-    children = asked.select("doc", "idx", "doc_id", "vec", "text")
-    return compare.compare(asked.select("doc", "idx", "doc_id", "vec", "text"), children, checkpoint(_corpus(spark, sf_dir)))
+    """All new documents against the accepted corpus, from the whole to the parts."""
+    parents, children = map(checkpoint, _documents(spark, sf_dir))
+    return compare.compare(parents, children, checkpoint(_corpus(spark, sf_dir)))
 
 
 @query()
 def scan_texts(spark, sf_dir):
-    """Stretches of the query set that are like confidential or restricted passages."""
-    asked = read(spark, sf_dir, "chunks").where("batch_no > 0 and row_id % 50 = 0").select("row_id", "text")
+    """Stretches of the new texts that are like confidential or restricted passages."""
+    asked = read(spark, sf_dir, "chunks").where("batch_no > 0").select("row_id", "text")
     found = compare.scan(asked, "row_id", "text", embedding.get(), checkpoint(_corpus(spark, sf_dir)))
     return found.select(F.col("id").alias("row_id"), "chunk_no", "level", F.round("similarity", 4).alias("similarity"), "matched_id", "start", "end", "content")
 

@@ -164,6 +164,22 @@ def test_compare_skips_what_is_known(spark):
     assert [(r.kind, r.matched_level, r.matched_doc) for r in rows] == [("abstract", "confidential", "lib")]
 
 
+def test_composite_queries_ask_for_everything(spark, monkeypatch):
+    from corvault.plans import queries
+
+    chunks = queries.read(spark, "/root/testdata/sf0.001", "chunks").select("row_id", "file_path", "chunk_index", "text", "batch_no").collect()
+    asked = {r.row_id for r in queries.QUERIES["search"](spark, "/root/testdata/sf0.001").collect()}
+    assert asked == {r.row_id for r in chunks if r.text and r.row_id % 50 == 0}
+
+    monkeypatch.setattr(compare, "compare", lambda parents, children, corpus: (parents, children))
+    monkeypatch.setattr(compare, "scan", lambda texts, *_: texts.select(F.col("row_id").alias("id"), *[F.lit(0).alias(c) for c in ("chunk_no", "level", "similarity", "matched_id", "start", "end", "content")]))
+    parents, children = ([r.asDict() for r in df.collect()] for df in queries.QUERIES["compare_documents"](spark, "/root/testdata/sf0.001"))
+    assert sorted((r["doc"], r["idx"]) for r in parents) == sorted({(r.file_path, r.chunk_index) for r in chunks if r.text and r.batch_no > 0})
+    assert {(r["doc"], r["doc_id"]) for r in children} == {(r["doc"], r["doc_id"]) for r in parents}
+    assert max(len(r["text"]) for r in children) < max(len(r["text"]) for r in parents)
+    assert {r.row_id for r in queries.QUERIES["scan_texts"](spark, "/root/testdata/sf0.001").collect()} == {r.row_id for r in chunks if r.batch_no > 0}
+
+
 def _zip(files):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
