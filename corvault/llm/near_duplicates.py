@@ -65,15 +65,16 @@ def _pair_rule(threshold: float):
         na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
         ra, rb = a["r"].astype(np.int64), b["r"].astype(np.int64)
         need = np.ceil(total * (na + nb) - 1e-9).astype(np.int64)
-        a_small = (na < nb) | ((na == nb) & (a["k"] < b["k"]))
+        xa, xb = a["x"] & 0x3FFF, b["x"] & 0x3FFF
+        # classes of one group differ in x only
+        a_small = (na < nb) | ((na == nb) & ((a["k"] < b["k"]) | ((a["k"] == b["k"]) & (xa < xb))))
         small, rest = np.where(a_small, na, nb), np.where(a_small, ra, rb)
         indexed = small - rest < small - np.ceil(2 * total * small - 1e-9) + HITS
         role_small, role_large = np.where(a_small, role_a, role_b), np.where(a_small, role_b, role_a)
         keep = indexed & (role_small != PROBE) & (role_large != INDEX)
         keep &= small >= np.ceil(threshold * np.maximum(na, nb) - 1e-9)
         keep &= np.minimum(ra, rb) + HITS - 1 >= need
-        same = a["k"] == b["k"]
-        keep &= ~same | ((a["x"] & 0x3FFF) != (b["x"] & 0x3FFF))
+        keep &= (a["k"] != b["k"]) | (xa != xb)
         return keep, np.ones(len(a), dtype=np.int64), np.minimum(need, HITS)
 
     return rule
@@ -112,7 +113,9 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
                         seen.add(key)
             m = fresh[s.token_owner]
             o = s.token_owner[m]
-            yield from out.add(s.token[m], s.group[o], (s.key[o] & _U(0x3FFF)).astype(np.int64), s.n[o], s.rest[m])
+            # other bits of the class at each token, so that two classes of a group that are alike at one token are told apart at the rest
+            x = (mix(s.key[o] ^ s.token[m]) & _U(0x3FFF)).astype(np.int64)
+            yield from out.add(s.token[m], s.group[o], x, s.n[o], s.rest[m])
         yield from out.flush()
 
     groups = checkpoint(joined(rows.select("text").mapInArrow(post, BLOCK_SCHEMA), _pair_rule(threshold)).select("k1", "k2"))

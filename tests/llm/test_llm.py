@@ -77,6 +77,21 @@ def test_hot_tokens_lose_no_pair(rows, texts, monkeypatch):
     assert got == {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if similarity(texts[a], texts[b]) >= 0.5}
 
 
+def test_classes_of_a_group_meet_on_hot_tokens(spark, monkeypatch):
+    """One form letter with two footers that are commoner than its body: equal prefixes, all hot."""
+    # the sketch reaches the workers, a patched HOT doesn't
+    count = near_duplicates.frequency_sketch
+    monkeypatch.setattr(near_duplicates, "frequency_sketch", lambda *a: np.minimum(count(*a).astype(np.int64) * 4000, 65535).astype(np.uint16))
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    body, feet = words(30), (words(8), words(8))
+    texts = [" ".join(body + f) for f in feet for _ in range(3)] + [" ".join(words(30) + body[-2:] + f) for f in feet for _ in range(12)]
+    assert similarity(texts[0], texts[3]) >= 0.5
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.id_a, r.id_b) for r in near_duplicates.similar_rows(rows, "id", "text", 0.5, 3).collect()}
+    assert got == {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if similarity(texts[a], texts[b]) >= 0.5}
+
+
 def test_groups_are_components(rows, texts):
     got = {r.id: (r.class_id, r.links) for r in near_duplicates.groups(rows, "id", "text", 0.5, 3).collect()}
     parent = list(range(len(texts)))
