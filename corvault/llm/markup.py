@@ -78,7 +78,7 @@ _SCAN = re.compile("(" + "|".join(f"(?P<{n}>{p.replace(chr(92) + '2', '(?P=eq)')
 #: Where a cue can begin: at a line's beginning or at one of these signs.
 _NEXT = re.compile(r"^|[<&\\$`\[{'_*~#!]|\b[A-Za-z]:\\", re.M)
 #: A text without any of these holds no cue that could be markup.
-MAYBE = r"[<&\\$`\[{=_*~#|>]|''|(?m)^[ \t]*[+:;]"
+MAYBE = r"[<&\\$`\[{=_*~#|>]|''|(?m)^[ \t]*[+:;]|^-{3,}[ \t]*$"
 _MATHY = re.compile(r"[\\^_={}<>+]|^[A-Za-z]$")
 
 

@@ -191,6 +191,14 @@ def test_markup_clean():
     assert markup.clean("plain & simple") == "plain & simple"
 
 
+def test_dash_underlined_headings_reach_the_tree(spark):
+    t = "Title\n-----\n\nplain words and no other sign"
+    assert markup.kinds(t) == ["markdown"] and markup.clean(t) != t
+    rows = spark.createDataFrame([(1, t), (2, "plain words - no sign")], "id long, text string")
+    assert [r[0] for r in markup.kinds_of(rows, "id", "text").collect()] == [1]
+    assert {r[0]: r[1] for r in markup.cleaned(rows, "id", "text").collect()}[1] == markup.clean(t)
+
+
 def test_messages_equal_enumeration():
     m = markup.model()
     nodes = markup.tree("<p>a <b>b</b> $x^2$</p> **c**")
