@@ -56,7 +56,8 @@ def span_tokens(texts: list[str | None], k: int, least_units: int) -> np.ndarray
 def span_table(rows: DataFrame, sketch, k: int, least_units: int, threshold: float) -> DataFrame:
     """The chunk-to-record table of ``rows`` (text, fresh): blocks of postings by bucket, for :func:`joined`.
 
-    It may be written and kept; the table of a new batch is appended to it, provided both were made with the same sketch and number of buckets.
+    Tables can be joined if they were made with the same sketch and number of buckets.  No run keeps one: the sketch
+    counts history and new rows together, so the next run has another sketch and makes the table of the history anew.
     """
     buckets = bucket_count(rows)
 
