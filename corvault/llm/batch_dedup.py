@@ -1,176 +1,315 @@
 """New batches against all accepted history.
 
-Method: content-defined chunking.  The rolling hash over three units sets boundaries, so that
-an edit moves only the boundaries next to it; the spans between boundaries are hashed.  A
-table holds which record has which span.  A new record looks its spans up, rarest first.  An edit
-in every few units leaves few spans, so each record is also indexed by spans of one shingle, with
-a prefix filter that loses no pair.  The records found are compared exactly.
+Method: content-defined chunking.  A rolling hash over three units sets boundaries, so that an
+edit moves only the boundaries next to it; the ends of a text are boundaries too.  The chunks
+between boundaries are hashed, and a persistent table (:class:`ChunkTable`) holds which record
+has which chunk, with the chunk's weight in shingles.  A new batch looks its chunks up, the shared
+weights of each two records are added up, and a pair is looked at if they cover enough of the
+smaller record.  Such pairs are compared exactly, on shingle sets that the table holds too, so
+no text of the history is read again.  Accepted records are appended to the table.
 
 Null texts and texts with fewer than ``least_units`` units repeat nothing and are accepted.
-Rows without a batch number are left out.
+Rows without a batch number or an id are left out.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvault.llm.near_duplicates import Sets, confirm
-from corvault.llm.postings import BLOCK_SCHEMA, BlockWriter, bucket_count, frequency_sketch, joined, text_batches
-from corvault.llm.units import mix, shingle_hashes, shingle_sets, unit_hashes
-from corvault.runtime import checkpoint, release
+from corvault.llm import bloom
+from corvault.llm.near_duplicates import _digest, fresh, verified
+from corvault.llm.postings import BLOCK_SCHEMA, BlockWriter, Sketch, bucket_count, cells_for, expanded, filtered, frequency_sketch, joined, opened, text_batches
+from corvault.llm.units import mix, shingle_hashes, unit_hashes
+from corvault.runtime import checkpoint, release, shared_dir
 
 _U = np.uint64
-#: One in so many shingles is a boundary.
-SPAN = 3
-#: A record's most frequent spans aren't looked up as long as they cover less than this part of it; the spans of one shingle find such pairs.
-COVERAGE = 0.25
-_NEW, _SINGLE = 1, 2
+#: A shingle is a boundary if its hash is below this part of all hashes: chunks have one and a half shingles on average.
+BOUNDARY = 2 / 3
+#: Part of a record whose most frequent chunks aren't looked up, and part of the smaller record that shared chunks must cover.
+#: A pair at the threshold of one half shares about two thirds of the smaller record's shingles, the chunks it shares cover 0.44 of it or more.
+UNSEEN, COVERED = 0.10, 0.20
+_NEW = 1
+_STAGED = "bucket int, block binary, id long, batch int, key long, n int, shingles binary"
 
 
-def spans(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Content-defined spans of each text: hash, number of the text, weight in shingles; and the shingles of each text."""
+def chunks(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Content-defined chunks of each text: hash, number of the text, weight in shingles; and all shingles with their texts."""
     units, at = unit_hashes(texts)
     h, owner = shingle_hashes(units, at, k)
     keep = np.diff(at)[owner] >= least_units
     h, owner = h[keep], owner[keep]
-    total = np.bincount(owner, minlength=len(texts))
-    cut = np.flatnonzero(mix(h ^ _U(0x2545F4914F6CDD1D)) % _U(SPAN) == 0)
-    run = np.cumsum(h)
-    same = owner[cut[1:]] == owner[cut[:-1]]
-    span = mix(run[cut[1:]] - run[cut[:-1]])[same]
-    return span, owner[cut[1:]][same], (cut[1:] - cut[:-1])[same], total
-
+    if not len(h):
+        return h, owner, owner, h, owner
+    last = np.r_[owner[1:] != owner[:-1], True]
+    end = np.flatnonzero(last | (mix(h ^ _U(0x2545F4914F6CDD1D)) < _U(int(BOUNDARY * 2**64)))) + 1
+    begin = np.r_[0, end[:-1]]
+    run = np.zeros(len(h) + 1, dtype=_U)
+    np.cumsum(h, out=run[1:])
+    return mix(run[end] - run[begin] + (end - begin).astype(_U)), owner[begin], end - begin, h, owner
 
-def fine_spans(texts: list[str | None], k: int, least_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of one shingle of the texts: hash and number of the text; and the distinct shingles of every text."""
-    h, owner, _ = shingle_sets(texts, k, least_units)
-    return mix(h ^ _U(0xD6E8FEB86659FD93)), owner, np.bincount(owner, minlength=len(texts))
 
+def _once(token: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks that a text has more than once count once."""
+    order = np.lexsort((token, owner))
+    token, owner, weight = token[order], owner[order], weight[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])] if len(token) else np.zeros(0, dtype=bool)
+    return token[new], owner[new], weight[new]
 
-def span_tokens(texts: list[str | None], k: int, least_units: int) -> np.ndarray:
-    return np.concatenate([spans(texts, k, least_units)[0], fine_spans(texts, k, least_units)[0]])
 
+class Records:
+    """Of the texts of a batch: chunks in the common order, rarest first, as far as they are looked up; distinct shingles; class keys."""
 
-def span_table(rows: DataFrame, sketch, k: int, least_units: int, threshold: float) -> DataFrame:
-    """The chunk-to-record table of ``rows`` (text, fresh): blocks of postings by bucket, for :func:`joined`.
-
-    Tables can be joined if they were made with the same sketch and number of buckets.  No run keeps one: the sketch
-    counts history and new rows together, so the next run has another sketch and makes the table of the history anew.
-    """
-    buckets = bucket_count(rows)
-
-    def post(batches):
-        out = BlockWriter(buckets, sketch.value)
-        seen: set[tuple[int, int]] = set()
-        for b, texts in text_batches(batches):
-            fresh = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            key = Sets(texts, None, 0.5, k, least_units).key
-            span, owner, weight, total = spans(texts, k, least_units)
-            once = np.zeros(len(texts), dtype=bool)
-            for i in np.flatnonzero(total):
-                own = (int(key[i]), int(fresh[i]))
-                if own not in seen:
-                    once[i] = True
-                    if len(seen) < 500_000:
-                        seen.add(own)
-            m = once[owner]
-            span, owner, weight = span[m], owner[m], weight[m]
-            count = sketch.value[(span & _U(len(sketch.value) - 1)).astype(np.int64)]
-            order = np.lexsort((span, count, owner))
-            span, owner, weight = span[order], owner[order], weight[order]
-            before = np.r_[0, np.cumsum(weight)][:-1]
-            first = np.searchsorted(owner, np.arange(len(texts)))
-            before = before - before[np.minimum(first[owner], max(0, len(before) - 1))]
-            looked = before < np.ceil((1 - COVERAGE) * total[owner])
-            span, owner, weight = span[looked], owner[looked], weight[looked]
-            fine, fine_owner, n = fine_spans(texts, k, least_units)
-            yield from out.add(span, key[owner], fresh[owner], n[owner], weight)
-            owner = fine_owner
-            m = once[owner]
-            fine, owner = fine[m], owner[m]
-            order = np.lexsort((fine, sketch.value[(fine & _U(len(sketch.value) - 1)).astype(np.int64)], owner))
-            fine, owner = fine[order], owner[order]
-            rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(texts)))[owner]
-            looked = rank < n[owner] - np.ceil(threshold * n[owner] - 1e-9) + 1
-            fine, owner, rank = fine[looked], owner[looked], rank[looked]
-            yield from out.add(fine, key[owner], fresh[owner] | _SINGLE, n[owner], n[owner] - rank)
-        yield from out.flush()
-
-    return rows.select("text", "fresh").mapInArrow(post, BLOCK_SCHEMA)
+    def __init__(self, texts, sketch: Sketch, k: int, least_units: int):
+        token, owner, weight, h, of = chunks(texts, k, least_units)
+        m = len(texts)
+        token, owner, weight = _once(token, owner, weight)
+        self.total = np.bincount(owner, weights=weight, minlength=m).astype(np.int64)
+        order = np.lexsort((token, sketch.count(token), owner))
+        token, owner, weight = token[order], owner[order], weight[order]
+        before = np.r_[0, np.cumsum(weight)][:-1]
+        before = before - before[np.searchsorted(owner, np.arange(m)).clip(max=max(0, len(before) - 1))][owner] if len(owner) else before
+        looked = before < np.ceil((1 - UNSEEN) * self.total[owner])
+        self.token, self.owner, self.weight = token[looked], owner[looked], weight[looked]
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, dtype=bool)
+        self.h, of = h[new], of[new]
+        self.n = np.bincount(of, minlength=m)
+        self.at = np.r_[0, np.cumsum(self.n)]
+        self.key = _digest(self.h, of, m, self.n)
 
 
 def _rule(threshold: float):
-    """Pairs with a new record whose sizes allow the similarity; two that meet on a single shingle must also have enough of them left behind it."""
+    """Pairs with a new record whose sizes allow the similarity; what they share must cover enough, less what may not have been looked up."""
 
-    def rule(a, b, role_a, role_b):
-        na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-        keep = (a["k"] != b["k"]) & (((a["x"] | b["x"]) & _NEW) == _NEW) & (np.minimum(na, nb) >= np.ceil(threshold * np.maximum(na, nb) - 1e-9))
+    def rule(na, nb, wa, wb, fa, fb, role_a, role_b):
+        small, large = np.minimum(na, nb), np.maximum(na, nb)
+        keep = ((fa | fb) == _NEW) & (small >= np.ceil(threshold * large - 1e-9))
         # in a grid cell a pair counts once: where the smaller key is indexed
-        first = a["k"] < b["k"]
-        keep &= (np.where(first, role_a, role_b) != 2) & (np.where(first, role_b, role_a) != 1)
-        need = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
-        keep &= ((a["x"] & _SINGLE) == 0) | (np.minimum(a["r"], b["r"]) >= need)
-        one = np.ones(len(a), dtype=np.int64)
-        return keep, one, one
+        keep &= (role_a != 2) & (role_b != 1)
+        need = np.maximum(1, np.ceil(COVERED * small - UNSEEN * large)).astype(np.int64)
+        return keep, np.minimum(wa, wb), need
 
     return rule
 
 
-def repeats(rows: DataFrame, id_col: str, text_col: str, batch_col: str, threshold: float = 0.8, k: int = 5, least_units: int = 20) -> DataFrame:
-    """(accepted_id, new_id, similarity): every repeated record with every record accepted before it that it repeats.
+def _tokens(b: pa.RecordBatch) -> np.ndarray:
+    """Tokens of the blocks (bucket, block) as 64-bit numbers, unique to token and bucket."""
+    found = [_placed(opened(v.as_buffer())[4], k) for k, v in zip(b.column(0).to_pylist(), b.column(1))]
+    return np.concatenate(found) if found else np.zeros(0, dtype=_U)
+
+
+def _placed(t: np.ndarray, bucket: int) -> np.ndarray:
+    return t.astype(_U) | (_U(bucket) << _U(32))
 
-    Records come in order of (batch, id).  Batch 0 is accepted as a whole.  A later record is a
-    repeat if its similarity to any record accepted before it is at least ``threshold``; else it is accepted.
+
+class ChunkTable:
+    """The persistent chunk-to-record table: a folder with the common order of chunks and one folder for each append.
+
+    Of every accepted record it has the chunks as blocks of postings by bucket, (id, batch, key), and of every
+    class of equal shingle sets the set.  An append counts once its marker is written, so one that is
+    cut off leaves the table as it was.  The order is that of the first append; later ones keep to it, so
+    that old and new records look up the same chunks.
     """
-    spark = rows.sparkSession
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(batch_col).cast("int").alias("batch")).where(
-        "id is not null and text is not null and batch is not null"
-    )
-    sketch = spark.sparkContext.broadcast(frequency_sketch(rows, lambda texts: span_tokens(texts, k, least_units)))
-    release(spark)
-    history = span_table(rows.where("batch = 0").select("text", F.lit(0).alias("fresh")), sketch, k, least_units, threshold)
-    new = span_table(rows.where("batch > 0").select("text", F.lit(_NEW).alias("fresh")), sketch, k, least_units, threshold)
-    found = checkpoint(joined(history.unionByName(new), _rule(threshold)).select("k1", "k2"))
-    release(spark)
-    pairs, members = confirm(rows.select("id", "text"), found, threshold, k, least_units)
-    pairs = checkpoint(pairs)
-    placed = checkpoint(members.join(rows.select("id", "batch"), "id"))
-    release(spark)
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        meta = json.loads(self.spark.read.text(f"{self.path}/meta").first()[0])
+        self.buckets, self.k, self.least_units, self.threshold = meta["buckets"], meta["k"], meta["least_units"], meta["threshold"]
+        cells = np.zeros(meta["cells"], dtype=np.uint32)
+        for r in self.spark.read.parquet(f"{self.path}/order").toLocalIterator():
+            part = np.frombuffer(r.counts, dtype="<u4")
+            cells[r.at : r.at + len(part)] = part
+        self.sketch = spark.sparkContext.broadcast(Sketch(cells, meta["total"]))
+
+    @classmethod
+    def create(cls, rows: DataFrame, path: str, threshold: float = 0.8, k: int = 5, least_units: int = 20) -> ChunkTable:
+        """A table at ``path`` with all of ``rows`` (id, text, batch) accepted."""
+        spark = rows.sparkSession
+
+        def count(texts):
+            token, owner, weight, _, _ = chunks(texts, k, least_units)
+            return _once(token, owner, weight)[0]
+
+        length = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        made = frequency_sketch(rows, count, cells=cells_for(length))
+        release(spark)
+        meta = {"buckets": bucket_count(rows, made.total), "k": k, "least_units": least_units, "threshold": threshold, "cells": len(made.cells), "total": made.total}
+        step = 1 << 20
+        parts = [(i, made.cells[i : i + step].tobytes()) for i in range(0, len(made.cells), step)]
+        spark.createDataFrame(parts, "at int, counts binary").coalesce(1).write.parquet(f"{path}/order")
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
+        table = cls(spark, path)
+        table._append(table.staged(rows, 0))
+        return table
+
+    def _parts(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/part-*/_DONE")) or []
+        return sorted(s.getPath().getParent().toString() for s in found)
+
+    def read(self) -> DataFrame:
+        """All rows of the table: blocks (bucket, block) and records (id, batch, key, n, shingles)."""
+        parts = self._parts()
+        return self.spark.read.schema(_STAGED).parquet(*parts) if parts else self.spark.createDataFrame([], _STAGED)
+
+    def staged(self, rows: DataFrame, flag: int) -> DataFrame:
+        """``rows`` (id, text, batch) as rows of the table, in one pass over their texts."""
+        buckets, k, least, sketch = self.buckets, self.k, self.least_units, self.sketch
+
+        def describe(batches):
+            out = BlockWriter(buckets, sketch.value)
+            seen: set[int] = set()
+            blank = lambda n, kind: pa.nulls(n, kind)
+
+            def blocks(found):
+                for b in found:
+                    m = b.num_rows
+                    yield pa.RecordBatch.from_arrays([*b.columns, blank(m, pa.int64()), blank(m, pa.int32()), blank(m, pa.int64()), blank(m, pa.int32()), blank(m, pa.binary())], ["bucket", "block", "id", "batch", "key", "n", "shingles"])
+
+            for b, texts in text_batches(batches):
+                r = Records(texts, sketch.value, k, least)
+                has = np.flatnonzero(r.n)
+                first = fresh(r.key, seen, has)
+                m = first[r.owner]
+                yield from blocks(out.add(r.token[m], r.owner[m], r.weight[m], r.key, r.n, np.full(len(texts), flag)))
+                sets = [(r.h[r.at[i] : r.at[i + 1]] >> _U(32)).astype(np.uint32) if first[i] else None for i in has.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        blank(len(has), pa.int32()), blank(len(has), pa.binary()), b.column(0).take(pa.array(has)), b.column(2).take(pa.array(has)), pa.array(r.key[has].view(np.int64)),
+                        pa.array(r.n[has].astype(np.int32)), pa.array([None if s is None else np.sort(s).tobytes() for s in sets], pa.binary()),
+                    ],
+                    ["bucket", "block", "id", "batch", "key", "n", "shingles"],
+                )
+            yield from blocks(out.flush())
+
+        return rows.select("id", "text", "batch").mapInArrow(describe, _STAGED)
+
+    def _append(self, rows: DataFrame) -> None:
+        part = f"{self.path}/part-{uuid.uuid4().hex}"
+        rows.write.parquet(part)
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{part}/_DONE")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, True).close()
+
+    def arrive(self, rows: DataFrame) -> DataFrame:
+        """(accepted_id, new_id, similarity) of new records (id, text, batch), which are then appended as far as they are accepted.
+
+        Records come in order of (batch, id).  One is a repeat if its similarity to any record accepted before it, those
+        of the table first, reaches the threshold; else it is accepted.
+        """
+        spark = self.spark
+        old = self.read()
+        new = checkpoint(self.staged(rows, _NEW))
+        fresh_blocks = new.where("block is not null").select("bucket", "block")
+        asked = bloom.build(fresh_blocks, _postings(fresh_blocks), _tokens)
+        blocks = old.where("block is not null").select("bucket", "block")
+        if asked is not None:
+            # of the history only the chunks that a new record may have go through the shuffle
+            asked_ = spark.sparkContext.broadcast(asked)
+
+            def hits(batches):
+                for b in batches:
+                    kept = [filtered(v.as_buffer(), lambda t, _, k=k: asked_.value.maybe(_placed(t, k))) for k, v in zip(b.column(0).to_pylist(), b.column(1))]
+                    some = [i for i, v in enumerate(kept) if v is not None]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([kept[i] for i in some], pa.binary())], ["bucket", "block"])
+
+            blocks = blocks.mapInArrow(hits, BLOCK_SCHEMA)
+        found = checkpoint(joined(blocks.unionByName(fresh_blocks), self.buckets, _rule(self.threshold)).select(F.col("k1").alias("key_a"), F.col("k2").alias("key_b")))
+        release(spark)
+        sets = old.unionByName(new).where("shingles is not null").select("key", "shingles")
+        pairs = checkpoint(verified(found, sets, self.threshold))
+        known = old.where("id is not null").select("id", "key", F.lit(True).alias("old"), F.col("batch"))
+        placed = checkpoint(known.unionByName(new.where("id is not null").select("id", "key", F.lit(False).alias("old"), "batch")))
+        release(spark)
+        result, accepted = _settled(pairs, placed)
+        result = checkpoint(result)
+        self._append(self._of(new, accepted))
+        return result
+
+    def _of(self, new: DataFrame, accepted: DataFrame) -> DataFrame:
+        """The rows of the table for the accepted ones (id, key) of ``new``."""
+        spark = self.spark
+        records = new.where("id is not null").join(accepted.select("id").distinct(), "id", "left_semi").select(*_names())
+        # the class of an accepted record may have its set on the row of a copy
+        sets = new.where("shingles is not null").join(accepted.select("key").distinct(), "key", "left_semi").select(F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("block"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("batch"), "key", "n", "shingles")
+        keep = bloom.build(accepted.select("key"))
+        blocks = new.where("block is not null")
+        keep_ = spark.sparkContext.broadcast(keep)
+
+        def own(batches):
+            for b in batches:
+                # without a filter the postings of repeats stay; their records aren't there, so they are never results
+                kept = [_aged(v.as_buffer(), keep_.value) for v in b.column(1)]
+                some = [i for i, v in enumerate(kept) if v is not None]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([kept[i] for i in some], pa.binary())], ["bucket", "block"])
+
+        null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        aged = blocks.select("bucket", "block").mapInArrow(own, BLOCK_SCHEMA).select("bucket", "block", null("long", "id"), null("int", "batch"), null("long", "key"), null("int", "n"), null("binary", "shingles"))
+        return records.withColumn("shingles", F.lit(None).cast("binary")).unionByName(sets).unionByName(aged)
+
+
+def _names() -> list[str]:
+    return [x.split()[0] for x in _STAGED.split(", ")]
+
+
+def _aged(blob, keep: bloom.Filter | None) -> bytes | None:
+    """A block of new postings as one of old ones."""
+    made = filtered(blob, lambda t, key: np.ones(len(t), dtype=bool) if keep is None else keep.maybe(key))
+    if made is None:
+        return None
+    head = np.frombuffer(made[:12], dtype="<u4").copy()
+    head[2] &= 3
+    return head.tobytes() + made[12:]
+
+
+def _postings(blocks: DataFrame) -> int:
+    """How many postings there are in blocks (bucket, block), from their heads."""
+    number = F.expr("conv(hex(substring(block, 8, 1)) || hex(substring(block, 7, 1)) || hex(substring(block, 6, 1)) || hex(substring(block, 5, 1)), 16, 10)").cast("long")
+    return blocks.agg(F.sum(number)).first()[0] or 0
+
+
+def _settled(pairs: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results (accepted_id, new_id, similarity) and the accepted new records (id, key), from linked classes and all records (id, key, old, batch)."""
     place = F.struct("batch", "id")
-    classes = placed.groupBy("key").agg(F.min(place).alias("first"), (F.min("batch") == 0).alias("old"), (F.max("batch") > 0).alias("fresh"))
+    classes = placed.groupBy("key").agg(F.bool_or("old").alias("old"), F.min(F.when(~F.col("old"), place)).alias("first"))
     # only classes that are linked to another matter for the order of acceptance
     side = lambda c: classes.select(F.col("key").alias(f"key_{c}"), F.col("first").alias(f"first_{c}"), F.col("old").alias(f"old_{c}"))
-    linked = checkpoint(pairs.join(side("a"), "key_a").join(side("b"), "key_b"))
+    linked = checkpoint(pairs.join(side("a"), "key_a").join(side("b"), "key_b").where("not (old_a and old_b)"))
+    a_first = F.col("old_a") | (~F.col("old_b") & (F.col("first_a") < F.col("first_b")))
     forward = linked.select(
-        F.when(F.col("first_a") < F.col("first_b"), F.col("key_a")).otherwise(F.col("key_b")).alias("early"),
-        F.when(F.col("first_a") < F.col("first_b"), F.col("key_b")).otherwise(F.col("key_a")).alias("late"),
-        (F.col("old_a") | F.col("old_b")).alias("to_old"),
-        (F.col("old_a") & F.col("old_b")).alias("both_old"),
-    ).where("not both_old")
-    rejected = _rejected(forward)
-
-    accepted = placed.where("batch = 0").select("key", "id", "batch").unionByName(
-        classes.where("not old").join(rejected.select(F.col("late").alias("key")), "key", "left_anti").select("key", F.col("first.id").alias("id"), F.col("first.batch").alias("batch"))
+        F.when(a_first, F.col("key_a")).otherwise(F.col("key_b")).alias("early"), F.when(a_first, F.col("key_b")).otherwise(F.col("key_a")).alias("late"), (F.col("old_a") | F.col("old_b")).alias("to_old")
     )
+    rejected = _rejected(forward)
+    taken = checkpoint(classes.where("not old").join(rejected.select(F.col("late").alias("key")), "key", "left_anti").select("key", F.col("first.id").alias("id"), F.col("first.batch").alias("batch")))
+    accepted = placed.where("old").select("key", "id", F.lit(-1).alias("batch")).unionByName(taken)
     both = pairs.select("key_a", "key_b", "similarity").unionByName(pairs.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "similarity"))
-    own = classes.where("fresh").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(1.0).alias("similarity"))
-    return (
-        both.unionByName(own)
-        .join(accepted.select(F.col("key").alias("key_a"), F.col("id").alias("accepted_id"), F.col("batch").alias("b0")), "key_a")
-        .join(placed.where("batch > 0").select(F.col("key").alias("key_b"), F.col("id").alias("new_id"), F.col("batch").alias("b1")), "key_b")
-        .where("b0 < b1 or (b0 = b1 and accepted_id < new_id)")
-        # an accepted record may have later links, but it repeats none
-        .join(accepted.where("batch > 0").select(F.col("id").alias("new_id")), "new_id", "left_anti")
-        .select("accepted_id", "new_id", "similarity")
-        .distinct()
-    )
+    fresh_ = placed.where("not old").select("key").distinct()
+    own = fresh_.select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(1.0).alias("similarity"))
+    both = both.unionByName(own)
+    carried = F.struct("key", "batch", "id").alias("id")
+    left, right = accepted.select("key", carried), placed.where("not old").select("key", carried)
+    rows = expanded(both.select("key_a", "key_b"), left, right)
+    rows = rows.select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"), F.col("x.batch").alias("b0"), F.col("x.id").alias("accepted_id"), F.col("y.batch").alias("b1"), F.col("y.id").alias("new_id"))
+    rows = rows.where("b0 < b1 or (b0 = b1 and accepted_id < new_id)")
+    # an accepted record may have later links, but it repeats none
+    rows = rows.join(taken.select(F.col("id").alias("new_id")), "new_id", "left_anti").join(both, ["key_a", "key_b"])
+    return rows.select("accepted_id", "new_id", "similarity").distinct(), taken.select("id", "key")
 
 
 def _rejected(forward: DataFrame) -> DataFrame:
-    """Classes whose first record is a repeat; decided in rounds, each for all records whose earlier neighbours are decided."""
+    """Classes whose first record is a repeat; decided in rounds, each for all records whose earlier neighbours are decided.
+
+    Links to the table decide in the first round; what is left are chains of revisions among the new records.
+    """
     rejected = checkpoint(forward.where("to_old").select("late").distinct())
     late = rejected.withColumnRenamed("late", "early")
     edges = checkpoint(forward.where("not to_old").select("early", "late").distinct().join(rejected, "late", "left_anti").join(late, "early", "left_anti"))
@@ -180,3 +319,26 @@ def _rejected(forward: DataFrame) -> DataFrame:
         rejected = rejected.unionByName(out)
         edges = checkpoint(edges.join(out, "late", "left_anti").join(out.withColumnRenamed("late", "early"), "early", "left_anti"))
     return rejected
+
+
+def _named(rows: DataFrame, id_col: str, text_col: str, batch_col: str) -> DataFrame:
+    named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(batch_col).cast("int").alias("batch"))
+    return named.where("id is not null and text is not null and batch is not null")
+
+
+def repeats(rows: DataFrame, id_col: str, text_col: str, batch_col: str, threshold: float = 0.8, k: int = 5, least_units: int = 20, path: str | None = None, in_turn: bool = False) -> DataFrame:
+    """(accepted_id, new_id, similarity): every repeated record with every record accepted before it that it repeats.
+
+    Batch 0 is accepted as a whole and makes the table at ``path`` (a new folder of the shared folder if none is
+    given), the others arrive at once, or each in its turn.
+    """
+    rows = _named(rows, id_col, text_col, batch_col)
+    path = path or f"{shared_dir(rows.sparkSession).rstrip('/')}/chunk-table-{uuid.uuid4().hex}"
+    table = ChunkTable.create(rows.where("batch = 0"), path, threshold, k, least_units)
+    new = rows.where("batch > 0")
+    if not in_turn:
+        return table.arrive(new)
+    out = rows.sparkSession.createDataFrame([], "accepted_id long, new_id long, similarity double")
+    for b in sorted(r.batch for r in new.select("batch").distinct().collect()):
+        out = out.unionByName(table.arrive(new.where(F.col("batch") == b)))
+    return out

@@ -1,10 +1,10 @@
 """Near-duplicate records: an exact set-similarity join over word shingles.
 
-Method: grouped prefix join.  Shingles are ordered by an approximate count over all records,
-rare ones first.  Two sets of at least the wanted Jaccard similarity must share tokens in
-their prefixes of that order; records with identical prefix and size form one group, groups
-are joined on prefix tokens, and only the members of surviving group pairs are verified on
-their whole sets.
+Method: grouped prefix join.  Shingles are ordered by a count over all records, rare ones first.
+Two sets of at least the wanted Jaccard similarity must share tokens in their prefixes of that
+order; records with identical prefix and size form one group, groups are joined on prefix tokens
+(a group of several classes also with itself), and only the members of surviving group pairs are
+verified on their whole sets.
 
 Nulls and texts of fewer than ``least_units`` units are similar to nothing.  Exact copies
 are one class and are compared once.  Repeated ids are kept as they come.
@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvault.llm import bloom
-from corvault.llm.postings import BLOCK_SCHEMA, BOTH, INDEX, PROBE, BlockWriter, bucket_count, frequency_sketch, joined, text_batches
+from corvault.llm.postings import BLOCK_SCHEMA, INDEX, PROBE, BlockWriter, bucket_count, cells_for, expanded, frequency_sketch, joined, text_batches
 from corvault.llm.units import mix, shingle_hashes, shingle_sets, unit_hashes
 from corvault.runtime import checkpoint, release, shuffle_partitions
 
 _U = np.uint64
 #: Shared prefix tokens that a pair must have; prefixes are longer by one less.
 HITS = 4
+#: Classes of a group that one task holds; larger groups are dealt to several cells.
+CELL = 512
+#: Keys that a task remembers so as to send copies once; what it forgets is sent again and counts once all the same.
+_SEEN = 500_000
 
 
 class Sets:
@@ -35,16 +39,13 @@ class Sets:
         self.h, self.owner = h, owner
         self.n = np.bincount(owner, minlength=len(texts))
         self.at = np.r_[0, np.cumsum(self.n)]
-        n = self.n[owner]
         if sketch is not None:
-            count = sketch[(h & _U(len(sketch) - 1)).astype(np.int64)].astype(_U)
-            order = np.lexsort((h, count, owner))
-            h = h[order]
+            h = h[np.lexsort((h, sketch.count(h), owner))]
         pos = np.arange(len(h)) - self.at[owner]
         need = np.ceil(threshold * self.n - 1e-9).astype(np.int64)
         self.prefix = np.minimum(self.n, self.n - need + HITS)
         inside = pos < self.prefix[owner]
-        self.token, self.token_owner, self.rest = h[inside], owner[inside], (n - pos)[inside]
+        self.token, self.token_owner, self.pos = h[inside], owner[inside], pos[inside]
         self.group = _digest(self.token, self.token_owner, len(texts), self.n)
         self.key = _digest(self.h, self.owner, len(texts), self.n)
 
@@ -58,24 +59,30 @@ def _digest(h: np.ndarray, owner: np.ndarray, texts: int, n: np.ndarray) -> np.n
     return mix(run[at[1:]] - run[at[:-1]] + n.astype(_U) * _U(0xE7037ED1A0B428DB))
 
 
+def fresh(keys: np.ndarray, seen: set[int], where: np.ndarray) -> np.ndarray:
+    """Which of the rows ``where`` hold a key that the task sees for the first time."""
+    out = np.zeros(len(keys), dtype=bool)
+    for i, k in zip(where.tolist(), keys[where].tolist()):
+        if k not in seen:
+            out[i] = True
+            if len(seen) < _SEEN:
+                seen.add(k)
+    return out
+
+
 def _pair_rule(threshold: float):
     total = threshold / (1 + threshold)
 
-    def rule(a, b, role_a, role_b):
-        na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-        ra, rb = a["r"].astype(np.int64), b["r"].astype(np.int64)
+    def rule(na, nb, pa_, pb, fa, fb, role_a, role_b):
         need = np.ceil(total * (na + nb) - 1e-9).astype(np.int64)
-        xa, xb = a["x"] & 0x3FFF, b["x"] & 0x3FFF
-        # classes of one group differ in x only
-        a_small = (na < nb) | ((na == nb) & ((a["k"] < b["k"]) | ((a["k"] == b["k"]) & (xa < xb))))
-        small, rest = np.where(a_small, na, nb), np.where(a_small, ra, rb)
-        indexed = small - rest < small - np.ceil(2 * total * small - 1e-9) + HITS
+        a_small = na <= nb
+        small = np.minimum(na, nb)
+        indexed = np.where(a_small, pa_, pb) < small - np.ceil(2 * total * small - 1e-9) + HITS
         role_small, role_large = np.where(a_small, role_a, role_b), np.where(a_small, role_b, role_a)
         keep = indexed & (role_small != PROBE) & (role_large != INDEX)
         keep &= small >= np.ceil(threshold * np.maximum(na, nb) - 1e-9)
-        keep &= np.minimum(ra, rb) + HITS - 1 >= need
-        keep &= (a["k"] != b["k"]) | (xa != xb)
-        return keep, np.ones(len(a), dtype=np.int64), np.minimum(need, HITS)
+        keep &= np.minimum(na - pa_, nb - pb) + HITS - 1 >= need
+        return keep, np.ones(len(na), dtype=np.int64), np.minimum(need, HITS)
 
     return rule
 
@@ -94,102 +101,114 @@ def class_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float =
         h, owner = shingle_hashes(units, at, k)
         return h[np.diff(at)[owner] >= least_units]
 
-    sketch = spark.sparkContext.broadcast(frequency_sketch(rows, plain))
+    length = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    made = frequency_sketch(rows, plain, cells=cells_for(length))
+    buckets = bucket_count(rows, made.total)
+    sketch = spark.sparkContext.broadcast(made)
     release(spark)
-    buckets = bucket_count(rows)
 
     def post(batches):
         out = BlockWriter(buckets, sketch.value)
-        seen: set[int] = set()
+        groups: set[int] = set()
+        classes: set[int] = set()
         for _, texts in text_batches(batches):
             s = Sets(texts, sketch.value, threshold, k, least_units)
-            # copies within a task are sent once
-            fresh = np.zeros(len(texts), dtype=bool)
-            for i in np.flatnonzero(s.n):
-                key = int(s.key[i])
-                if key not in seen:
-                    fresh[i] = True
-                    if len(seen) < 500_000:
-                        seen.add(key)
-            m = fresh[s.token_owner]
-            o = s.token_owner[m]
-            # other bits of the class at each token, so that two classes of a group that are alike at one token are told apart at the rest
-            x = (mix(s.key[o] ^ s.token[m]) & _U(0x3FFF)).astype(np.int64)
-            yield from out.add(s.token[m], s.group[o], x, s.n[o], s.rest[m])
+            some = np.flatnonzero(s.n)
+            own = fresh(s.key, classes, some)
+            out.members(s.group[own], s.key[own])
+            # copies, and members of one group, are sent once
+            m = fresh(s.group, groups, some)[s.token_owner]
+            yield from out.add(s.token[m], s.token_owner[m], s.pos[m], s.group, s.n)
         yield from out.flush()
 
-    groups = checkpoint(joined(rows.select("text").mapInArrow(post, BLOCK_SCHEMA), _pair_rule(threshold)).select("k1", "k2"))
+    groups_ = checkpoint(joined(rows.select("text").mapInArrow(post, BLOCK_SCHEMA), buckets, _pair_rule(threshold)).select("k1", "k2"))
     release(spark)
-    return confirm(rows, groups, threshold, k, least_units, sketch)
-
+    return _confirmed(rows, groups_, threshold, k, least_units, sketch)
 
-def confirm(rows: DataFrame, candidates: DataFrame, threshold: float, k: int, least_units: int, sketch=None) -> tuple[DataFrame, DataFrame]:
-    """Verifies candidate pairs (k1, k2) on the whole shingle sets.
 
-    With a sketch, k1 and k2 are groups of equal prefix; else they are classes.  Returns pairs and
-    members as :func:`class_pairs` does.
-    """
+def _described(rows: DataFrame, sketch, wanted: bloom.Filter | None, every: bool, threshold: float, k: int, least_units: int) -> DataFrame:
+    """(id, key, grp, n, bits, shingles) of every record with a set; bits and shingles where the group may be wanted, once for each task."""
     spark = rows.sparkSession
-    wanted = spark.sparkContext.broadcast(bloom.build(candidates.select(F.explode(F.array("k1", "k2")).alias("k"))))
+    wanted_ = spark.sparkContext.broadcast(wanted)
 
     def describe(batches):
         seen: set[int] = set()
         for b, texts in text_batches(batches):
-            s = Sets(texts, sketch and sketch.value, threshold, k, least_units)
-            group = s.group if sketch else s.key
+            s = Sets(texts, sketch.value, threshold, k, least_units)
             has = np.flatnonzero(s.n)
-            hit = bloom.maybe(wanted.value, group[has])
-            sets: list[bytes | None] = []
-            bits: list[bytes | None] = []
-            for i, ok in zip(has.tolist(), hit.tolist()):
-                key = int(s.key[i])
-                if ok and key not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(key)
-                    own = s.h[s.at[i] : s.at[i + 1]]
-                    bits.append(_parity_bits(own))
-                    sets.append(np.sort((own >> _U(32)).astype(np.uint32)).tobytes())
-                else:
-                    bits.append(None)
-                    sets.append(None)
+            hit = np.full(len(has), every) if wanted_.value is None else wanted_.value.maybe(s.group[has])
+            first = fresh(s.key, seen, has[hit])
+            own = [s.h[s.at[i] : s.at[i + 1]] if first[i] else None for i in has.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(has)),
                     pa.array(s.key[has].view(np.int64)),
-                    pa.array(group[has].view(np.int64)),
+                    pa.array(s.group[has].view(np.int64)),
                     pa.array(s.n[has].astype(np.int32)),
-                    pa.array(bits, pa.binary()),
-                    pa.array(sets, pa.binary()),
+                    pa.array([None if h is None else _parity_bits(h) for h in own], pa.binary()),
+                    pa.array([None if h is None else np.sort((h >> _U(32)).astype(np.uint32)).tobytes() for h in own], pa.binary()),
                 ],
                 ["id", "key", "grp", "n", "bits", "shingles"],
             )
 
     described = checkpoint(rows.select("id", "text").mapInArrow(describe, "id long, key long, grp long, n int, bits binary, shingles binary"))
     release(spark)
+    return described
+
+
+def _confirmed(rows: DataFrame, candidates: DataFrame, threshold: float, k: int, least_units: int, sketch) -> tuple[DataFrame, DataFrame]:
+    """Verifies the members of candidate pairs of groups (k1, k2) on their whole shingle sets."""
+    spark = rows.sparkSession
+    asked = candidates.select(F.explode(F.array("k1", "k2")).alias("k")).distinct()
+    wanted = bloom.build(asked)
+    described = detail = _described(rows, sketch, wanted, False, threshold, k, least_units)
+    if wanted is None:
+        # too many groups to broadcast: one record of each wanted class is sent through the shuffle and described again
+        chosen = described.join(asked.withColumnRenamed("k", "grp"), "grp", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+        detail = _described(rows.join(chosen.select("id"), "id", "left_semi"), sketch, None, True, threshold, k, least_units)
     members = described.select("id", "key")
     parts = shuffle_partitions(spark)
-    # partitioned by group only, so that neither the aggregation nor the joins on the group move the bits again
-    first = described.where("bits is not null").select("grp", "key", "n", "bits").repartition(parts, "grp").groupBy("grp", "key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    left = first.select(F.col("grp").alias("k1"), F.col("key").alias("key_a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = first.select(F.col("grp").alias("k2"), F.col("key").alias("key_b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    maybe = candidates.join(left, "k1").join(right, "k2").where("k1 != k2 or key_a < key_b").select("key_a", "key_b", "na", "nb", "ba", "bb")
+    # groups of many classes are dealt to cells, their pairs to pairs of cells; the table of such groups is small or else shuffled
+    hot = detail.where("bits is not null").select("grp", "key").distinct().groupBy("grp").agg(F.count("*").alias("m"))
+    hot = checkpoint(hot.where(F.col("m") > CELL).select("grp", F.ceil(F.col("m") / CELL).cast("int").alias("s")))
+    cell = F.when(F.col("s").isNull(), 0).otherwise(F.pmod("key", F.col("s"))).cast("int")
+    placed = detail.where("bits is not null").select("grp", "key", "n", "bits").join(hot, "grp", "left").select("grp", cell.alias("cell"), "key", "n", "bits")
+    # partitioned by group and cell only, so that neither the aggregation nor the joins move the bits again
+    first = placed.repartition(parts, "grp", "cell").groupBy("grp", "cell", "key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    left = first.select(F.col("grp").alias("k1"), F.col("cell").alias("c1"), F.col("key").alias("key_a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = first.select(F.col("grp").alias("k2"), F.col("cell").alias("c2"), F.col("key").alias("key_b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    cells = lambda s: F.explode(F.sequence(F.lit(0), F.coalesce(s, F.lit(1)) - 1))
+    dealt = candidates.join(hot.toDF("k1", "s1"), "k1", "left").join(hot.toDF("k2", "s2"), "k2", "left")
+    dealt = dealt.select("k1", "k2", "s2", cells(F.col("s1")).alias("c1")).select("k1", "k2", "c1", cells(F.col("s2")).alias("c2")).where("k1 != k2 or c1 <= c2")
+    maybe = dealt.join(left, ["k1", "c1"]).join(right, ["k2", "c2"]).where("k1 != k2 or c1 < c2 or key_a < key_b").select("key_a", "key_b", "na", "nb", "ba", "bb")
     close = checkpoint(maybe.mapInArrow(lambda batches: _close(batches, threshold), "key_a long, key_b long"))
     release(spark)
-    linked = spark.sparkContext.broadcast(bloom.build(close.select(F.explode(F.array("key_a", "key_b")).alias("k"))))
+    return verified(close, detail.where("shingles is not null").select("key", "shingles"), threshold), members
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key_a, key_b, similarity) of the pairs whose sets (key, shingles) are similar enough; a class may have its set more than once."""
+    spark = pairs.sparkSession
+    asked = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    linked = bloom.build(asked)
+    if linked is None:
+        sets = sets.join(asked, "key", "left_semi")
+    else:
+        linked_ = spark.sparkContext.broadcast(linked)
 
-    def of_links(batches):
-        for b in batches:
-            yield b.filter(pa.array(bloom.maybe(linked.value, b.column(0).to_numpy().view(_U))))
+        def of_links(batches):
+            for b in batches:
+                yield b.filter(pa.array(linked_.value.maybe(b.column(0).to_numpy().view(_U))))
 
-    sets = described.where("shingles is not null").select("key", "shingles").mapInArrow(of_links, "key long, shingles binary")
-    classes = sets.repartition(parts, "key").groupBy("key").agg(F.first("shingles").alias("shingles"))
+        sets = sets.select("key", "shingles").mapInArrow(of_links, "key long, shingles binary")
+    classes = sets.repartition(shuffle_partitions(spark), "key").groupBy("key").agg(F.first("shingles").alias("shingles"))
     both = (
-        close.join(classes.select(F.col("key").alias("key_a"), F.col("shingles").alias("sa")), "key_a")
+        pairs.select("key_a", "key_b")
+        .join(classes.select(F.col("key").alias("key_a"), F.col("shingles").alias("sa")), "key_a")
         .join(classes.select(F.col("key").alias("key_b"), F.col("shingles").alias("sb")), "key_b")
         .select("key_a", "key_b", "sa", "sb")
     )
-    pairs = both.mapInArrow(lambda batches: _verified(batches, threshold), "key_a long, key_b long, similarity double")
-    return pairs, members
+    return both.mapInArrow(lambda batches: _verified(batches, threshold), "key_a long, key_b long, similarity double")
 
 
 def _parity_bits(h: np.ndarray) -> bytes:
@@ -239,13 +258,15 @@ def _verified(batches, threshold):
 def similar_rows(rows: DataFrame, id_col: str, text_col: str, threshold: float, k: int, least_units: int = 20) -> DataFrame:
     """Every pair of different rows (id_a < id_b) of at least the given similarity, copies written out."""
     pairs, members = class_pairs(rows, id_col, text_col, threshold, k, least_units)
-    pairs = checkpoint(pairs.select("key_a", "key_b"))
-    release(rows.sparkSession)
-    a = members.select(F.col("key").alias("key_a"), F.col("id").alias("x"))
-    b = members.select(F.col("key").alias("key_b"), F.col("id").alias("y"))
-    across = pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    within = a.withColumnRenamed("key_a", "key_b").join(b, "key_b").where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
-    return across.where("id_a < id_b").unionByName(within).distinct()
+    return rows_of(pairs, members)
+
+
+def rows_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: the members of linked classes, and of each class of copies."""
+    copies = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
+    linked = checkpoint(pairs.select("key_a", "key_b").unionByName(copies))
+    release(pairs.sparkSession)
+    return expanded(linked, members).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
 
 
 def groups(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5, least_units: int = 20) -> DataFrame:

@@ -62,14 +62,14 @@ def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = vector_forest.neighbours(read(spark, sf_dir, "embedding_cache"), "vec_no", "model_name", "dim", "vec", k=10, least=0.95)
+    near = vector_forest.neighbours(read(spark, sf_dir, "embedding_cache"), "vec_no", "model_name", "dim", "vec", k=10, trees=3, extra=12, least=0.95)
     return near.select(F.least("id", "neighbour").alias("vec_no_a"), F.greatest("id", "neighbour").alias("vec_no_b")).distinct()
 
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar vectors of every vector whose number is divisible by 50, with the score of a retrieval hit."""
     near = vector_forest.neighbours(
-        read(spark, sf_dir, "embedding_cache"), "vec_no", "model_name", "dim", "vec", k=10, trees=6, extra=320, queries=lambda ids: ids % 50 == 0
+        read(spark, sf_dir, "embedding_cache"), "vec_no", "model_name", "dim", "vec", k=10, queries=lambda ids: ids % 50 == 0
     )
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine"))), 4)
     return near.select(F.col("id").alias("vec_no"), F.col("neighbour").alias("neighbour_vec_no"), F.col("rank").alias("rank_no"), score.alias("score"))

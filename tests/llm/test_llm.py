@@ -81,7 +81,7 @@ def test_classes_of_a_group_meet_on_hot_tokens(spark, monkeypatch):
     """One form letter with two footers that are commoner than its body: equal prefixes, all hot."""
     # the sketch reaches the workers, a patched HOT doesn't
     count = near_duplicates.frequency_sketch
-    monkeypatch.setattr(near_duplicates, "frequency_sketch", lambda *a: np.minimum(count(*a).astype(np.int64) * 4000, 65535).astype(np.uint16))
+    monkeypatch.setattr(near_duplicates, "frequency_sketch", lambda *a, **k: (lambda s: postings.Sketch(s.cells * np.uint32(4000), s.total))(count(*a, **k)))
     rng = random.Random(5)
     words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
     body, feet = words(30), (words(8), words(8))
