@@ -33,7 +33,7 @@ _U = np.uint64
 BOUNDARY = 2 / 3
 #: Part of a record whose most frequent chunks aren't looked up, and part of the smaller record that shared chunks must cover.
 #: A pair at the threshold of one half shares about two thirds of the smaller record's shingles, the chunks it shares cover 0.44 of it or more.
-UNSEEN, COVERED = 0.10, 0.20
+UNSEEN, COVERED = 0.05, 0.30
 _NEW = 1
 _STAGED = "bucket int, block binary, id long, batch int, key long, n int, shingles binary"
 
@@ -146,7 +146,8 @@ class ChunkTable:
         spark.createDataFrame(parts, "at int, counts binary").coalesce(1).write.parquet(f"{path}/order")
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
         table = cls(spark, path)
-        table._append(table.staged(rows, 0))
+        part = table._part(table.staged(rows, 0))
+        table._done(part, rows)
         return table
 
     def _parts(self) -> list[str]:
@@ -156,10 +157,15 @@ class ChunkTable:
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/part-*/_DONE")) or []
         return sorted(s.getPath().getParent().toString() for s in found)
 
-    def read(self) -> DataFrame:
-        """All rows of the table: blocks (bucket, block) and records (id, batch, key, n, shingles)."""
+    def rows(self) -> DataFrame:
+        """The table: blocks (bucket, block), records (id, batch, key) and sets (key, n, shingles); also of records that weren't accepted."""
         parts = self._parts()
-        return self.spark.read.schema(_STAGED).parquet(*parts) if parts else self.spark.createDataFrame([], _STAGED)
+        return self.spark.read.schema(_STAGED).parquet(*(f"{p}/rows" for p in parts)) if parts else self.spark.createDataFrame([], _STAGED)
+
+    def accepted(self) -> DataFrame:
+        """(id, batch, key) of all accepted records."""
+        ids = self.spark.read.schema("id long").parquet(*(f"{p}/accepted" for p in self._parts())) if self._parts() else self.spark.createDataFrame([], "id long")
+        return self.rows().where("id is not null").select("id", "batch", "key").join(ids.distinct(), "id", "left_semi")
 
     def staged(self, rows: DataFrame, flag: int) -> DataFrame:
         """``rows`` (id, text, batch) as rows of the table, in one pass over their texts."""
@@ -193,9 +199,14 @@ class ChunkTable:
 
         return rows.select("id", "text", "batch").mapInArrow(describe, _STAGED)
 
-    def _append(self, rows: DataFrame) -> None:
-        part = f"{self.path}/part-{uuid.uuid4().hex}"
-        rows.write.parquet(part)
+    def _part(self, rows: DataFrame) -> str:
+        path = f"{self.path}/part-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(f"{path}/rows")
+        return path
+
+    def _done(self, part: str, accepted: DataFrame) -> None:
+        """Makes a part count, with the ``accepted`` ones (id) of its records."""
+        accepted.select("id").distinct().write.parquet(f"{part}/accepted")
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{part}/_DONE")
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, True).close()
@@ -207,63 +218,38 @@ class ChunkTable:
         of the table first, reaches the threshold; else it is accepted.
         """
         spark = self.spark
-        old = self.read()
-        new = checkpoint(self.staged(rows, _NEW))
+        old, accepted = self.rows(), self.accepted()
+        part = self._part(self.staged(rows, _NEW))
+        new = spark.read.schema(_STAGED).parquet(f"{part}/rows")
         fresh_blocks = new.where("block is not null").select("bucket", "block")
         asked = bloom.build(fresh_blocks, _postings(fresh_blocks), _tokens)
         blocks = old.where("block is not null").select("bucket", "block")
-        if asked is not None:
-            # of the history only the chunks that a new record may have go through the shuffle
-            asked_ = spark.sparkContext.broadcast(asked)
+        asked_ = spark.sparkContext.broadcast(asked)
 
-            def hits(batches):
-                for b in batches:
-                    kept = [filtered(v.as_buffer(), lambda t, _, k=k: asked_.value.maybe(_placed(t, k))) for k, v in zip(b.column(0).to_pylist(), b.column(1))]
-                    some = [i for i, v in enumerate(kept) if v is not None]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([kept[i] for i in some], pa.binary())], ["bucket", "block"])
+        def hits(batches):
+            # of the history only the chunks that a new record may have go through the shuffle
+            for b in batches:
+                kept = [_aged(v.as_buffer(), k, asked_.value) for k, v in zip(b.column(0).to_pylist(), b.column(1))]
+                some = [i for i, v in enumerate(kept) if v is not None]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([kept[i] for i in some], pa.binary())], ["bucket", "block"])
 
-            blocks = blocks.mapInArrow(hits, BLOCK_SCHEMA)
+        blocks = blocks.mapInArrow(hits, BLOCK_SCHEMA)
         found = checkpoint(joined(blocks.unionByName(fresh_blocks), self.buckets, _rule(self.threshold)).select(F.col("k1").alias("key_a"), F.col("k2").alias("key_b")))
         release(spark)
         sets = old.unionByName(new).where("shingles is not null").select("key", "shingles")
         pairs = checkpoint(verified(found, sets, self.threshold))
-        known = old.where("id is not null").select("id", "key", F.lit(True).alias("old"), F.col("batch"))
+        known = accepted.select("id", "key", F.lit(True).alias("old"), "batch")
         placed = checkpoint(known.unionByName(new.where("id is not null").select("id", "key", F.lit(False).alias("old"), "batch")))
         release(spark)
-        result, accepted = _settled(pairs, placed)
+        result, taken = _settled(pairs, placed)
         result = checkpoint(result)
-        self._append(self._of(new, accepted))
+        self._done(part, taken)
         return result
 
-    def _of(self, new: DataFrame, accepted: DataFrame) -> DataFrame:
-        """The rows of the table for the accepted ones (id, key) of ``new``."""
-        spark = self.spark
-        records = new.where("id is not null").join(accepted.select("id").distinct(), "id", "left_semi").select(*_names())
-        # the class of an accepted record may have its set on the row of a copy
-        sets = new.where("shingles is not null").join(accepted.select("key").distinct(), "key", "left_semi").select(F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("block"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("batch"), "key", "n", "shingles")
-        keep = bloom.build(accepted.select("key"))
-        blocks = new.where("block is not null")
-        keep_ = spark.sparkContext.broadcast(keep)
-
-        def own(batches):
-            for b in batches:
-                # without a filter the postings of repeats stay; their records aren't there, so they are never results
-                kept = [_aged(v.as_buffer(), keep_.value) for v in b.column(1)]
-                some = [i for i, v in enumerate(kept) if v is not None]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([kept[i] for i in some], pa.binary())], ["bucket", "block"])
-
-        null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-        aged = blocks.select("bucket", "block").mapInArrow(own, BLOCK_SCHEMA).select("bucket", "block", null("long", "id"), null("int", "batch"), null("long", "key"), null("int", "n"), null("binary", "shingles"))
-        return records.withColumn("shingles", F.lit(None).cast("binary")).unionByName(sets).unionByName(aged)
-
-
-def _names() -> list[str]:
-    return [x.split()[0] for x in _STAGED.split(", ")]
-
 
-def _aged(blob, keep: bloom.Filter | None) -> bytes | None:
-    """A block of new postings as one of old ones."""
-    made = filtered(blob, lambda t, key: np.ones(len(t), dtype=bool) if keep is None else keep.maybe(key))
+def _aged(blob, bucket: int, asked: bloom.Filter | None) -> bytes | None:
+    """A block of the table as one of old records, with the postings that ``asked`` may have; all of them without a filter."""
+    made = filtered(blob, lambda t, _: np.ones(len(t), dtype=bool) if asked is None else asked.maybe(_placed(t, bucket)))
     if made is None:
         return None
     head = np.frombuffer(made[:12], dtype="<u4").copy()

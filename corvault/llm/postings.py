@@ -88,14 +88,15 @@ def frequency_sketch(rows: DataFrame, tokens: Callable[[list[str | None]], np.nd
         if seen:
             parts = held.reshape(-1, size)
             some = np.flatnonzero(parts.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["bucket", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_counts(parts[i]) for i in some], pa.binary())], ["bucket", "block"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                part = np.frombuffer(blob.as_buffer(), dtype="<u4")
-                total[k] = total[k] + part if k in total else part.astype(np.int64)
+                raw = blob.as_buffer()
+                part = np.frombuffer(raw, dtype="<u2" if raw.size == 2 * size else "<u4").astype(np.int64)
+                total[k] = total[k] + part if k in total else part
         if total:
             cut = [np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(cut, pa.binary())], ["bucket", "block"])
@@ -108,6 +109,10 @@ def frequency_sketch(rows: DataFrame, tokens: Callable[[list[str | None]], np.nd
     return Sketch(sketch, int(sketch.sum(dtype=np.int64)))
 
 
+def _counts(part: np.ndarray) -> bytes:
+    return part.astype("<u2").tobytes() if part.max() < 1 << 16 else part.tobytes()
+
+
 def cells_for(code_points: int) -> int:
     """Cells of a sketch over so many code points: a power of two between ``CELLS`` and ``MOST_CELLS``."""
     return min(MOST_CELLS, max(CELLS, 1 << max(0, code_points // PER_CELL).bit_length()))
