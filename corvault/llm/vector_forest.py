@@ -35,7 +35,7 @@ MOST_SPACES = 10_000
 #: Vectors that a leaf should have, and from how many times that on it is split further where it is searched; leaves looked at there.
 LEAF, LARGE, INNER = 220, 6, 4
 #: Bytes of postings that a bucket should hold.
-PER_BUCKET = 48_000_000
+PER_BUCKET = 12_000_000
 #: Part of the squared distance at a cosine that the splits on the way to a leaf may take: leaves farther away aren't visited when only such cosines are wanted.
 REACH = 0.02
 _BLOCK = "bucket int, block binary"
