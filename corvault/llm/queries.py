@@ -101,14 +101,18 @@ def _areas(spark: SparkSession, sf_dir: str) -> list[str]:
     return sorted({r.subject for r in read(spark, sf_dir, "subjects").select("subject").where("subject is not null").collect()})
 
 
+def _subject_model(spark: SparkSession, sf_dir: str) -> subjects.Model:
+    return subjects.fit(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "subject_labels"), "subject")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = subjects.assign(read(spark, sf_dir, "documents"), "doc_id", "text", _areas(spark, sf_dir))
+    found = subjects.assign(read(spark, sf_dir, "documents"), "doc_id", "text", _areas(spark, sf_dir), _subject_model(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "subject").distinct()
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each subject area in the corpus."""
-    return subjects.composition(read(spark, sf_dir, "documents"), "doc_id", "text", _areas(spark, sf_dir))
+    return subjects.composition(read(spark, sf_dir, "documents"), "doc_id", "text", _areas(spark, sf_dir), _subject_model(spark, sf_dir))
 
 
 def _shipped(f: Query) -> Query:

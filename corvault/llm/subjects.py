@@ -1,19 +1,21 @@
 """Subject areas of documents.
 
-Method: a multi-pattern automaton finds curated, weighted subject terms; a term that several
-subjects share is less rare and weighs less.  A sentence is about a subject if the terms of it
-reach ``SENTENCE``; one passing mention doesn't.  The number of such sentences is normalised by
-the length of the document in sentences, and every subject whose share reaches the calibrated
-threshold is assigned.
+Method: a multi-pattern automaton finds weighted subject terms.  The terms are curated seeds and words
+that stand out in labelled documents of a subject (:func:`fit`); a term weighs more the rarer it is in the
+corpus, and less if several subjects share it.  A sentence is about a subject if the terms of it reach
+``SENTENCE``; one passing mention doesn't.  The number of such sentences is normalised by the length of the
+document in sentences, and every subject whose share reaches its own calibrated threshold is assigned.
 
 Null, empty and blank texts have no subject.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
@@ -22,106 +24,89 @@ from pyspark.sql import functions as F
 
 from corvault.runtime import checkpoint
 
-#: Weight of a term of one subject, and of a term that several share.
-OWN, SHARED = 1.0, 0.75
+#: Weight of a term that stands for one subject, and of one that several share; rarity raises it up to so many times.
+OWN, SHARED, RAREST = 1.0, 0.75, 1.25
 #: Weight that makes a sentence one about the subject.
 SENTENCE = 1.5
-#: Share of a document's sentences from which a subject is assigned; calibrated on labelled documents, see :func:`calibrate`.
+#: Share of a document's sentences from which a subject is assigned where there are too few labels to calibrate it.
 SHARE = 0.22
-
-#: Curated terms: English, German, Chinese.
-TERMS = {
-    "agriculture": (
-        "livestock field pasture cattle farmer crop drainage beekeeper harvest soil fertiliser harvested irrigation seed silo dairy milked tractor ploughed poultry wheat grazed greenhouse vineyard barley irrigated meadow orchard plough fertilised planted pesticide"
-        " weide gerste gewächshaus ernte stall obstgarten saatgut dünger traktor boden"
-        " 土壤 灌溉 果园 农药 牧场 牲畜 小麦 收割 温室 肥料 拖拉机 种子"
-    ),
-    "culture": (
-        "museum choir library ballet composer composed theatre orchestra exhibited novel play painted painter dancer stage tapestry exhibition fresco soloist festival folklore gallery curated sculpture heritage curator opera restored performed manuscript poem rehearsed"
-        " chor denkmal theater malerin ausstellung orchester roman skulptur handschrift"
-        " 乐团 舞蹈 遗产 小说 手稿 诗歌 画家 展览 雕塑 博物馆 合唱 剧院"
-    ),
-    "defence": (
-        "radar bunker brigade signal artillery pilot sonar conscript exercise deployed engineer manoeuvred camouflage garrison ammunition barracks commander frigate helmet battalion submarine deterrence airbase patrol patrolled intercepted missile mobilised garrisoned drill fortified convoy reconnaissance"
-        " geschwader artillerie übungsplatz fregatte kaserne munition spähtrupp"
-        " 炮兵 军营 部队 雷达 演习 旅团 巡逻 弹药 潜艇 舰艇 掩体 侦察"
-    ),
-    "education": (
-        "teacher diploma kindergarten grade principal syllabus training professor seminar university curriculum scholarship literacy apprentice classroom lecture thesis tutor graduated campus enrolment semester taught tutored school exam homework pupil tuition graded lectured enrolled"
-        " klassenzimmer hochschule lehrplan lehrling prüfungsamt schülerin zeugnis stipendium hörsaal unterricht"
-        " 奖学金 讲座 作业 文凭 招生 教室 校园 教师 课程 学生 考试 学期"
-    ),
-    "energy": (
-        "generator turbine pipeline fuel hydrogen cell kilowatt outage charge voltage grid insulation compressor watt coal heat reactor transformer photovoltaics boiler insulated refinery substation refuelled biogas generated throttled dam transmitted conductor furnace recharged electrified"
-        " stromnetz wärmepumpe spannung umspannwerk kessel brennstoff reaktor"
-        " 反应堆 发电机 涡轮 管道 锅炉 电压 氢气 燃料 停电 电网 煤炭 变压器"
-    ),
-    "finance": (
-        "creditor budget deficit stock treasury bond invoice loan collateral subsidy currency premium dividend hedge ledger mortgage equity interest liquidity revenue refunded audited audit portfolio invested depreciation amortised balance underwrote invoiced financed auditor"
-        " prüfung bilanz zinssatz anleihe dividende schuldner rechnung währung haushalt kredit"
-        " 赤字 股息 贷款 利率 发票 汇率 账目 债券 资产 预算 抵押 审计"
-    ),
-    "health": (
-        "cell virus allergy antibiotic diagnosis trial biopsy insulin immunised physician hospitalised hygiene symptom ambulance patient pharmacy dosage infection fracture vaccination ward therapy clinic nurse vaccine prescription vaccinated diagnosed surgeon treated tumour operated prescribed"
-        " dosis diagnose klinik infektion allergie arznei chirurgie patientin pflege impfung"
-        " 手术 疫苗 护士 门诊 感染 患者 过敏 诊断 病房 剂量 症状 药物"
-    ),
-    "law": (
-        "affidavit court jurisdiction contract appeal bench injunction judge ordinance prosecuted convicted litigation verdict tribunal overruled liability plaintiff statute lawsuit precedent attorney trial adjourned clause defendant hearing warrant prosecutor litigated testimony testified acquitted"
-        " urteil anwalt berufung klage kläger vertrag verjährung zeugin paragraf gericht"
-        " 法院 原告 证词 判决 被告 诉讼 条款 法官 合同 管辖 律师 上诉"
-    ),
-    "science": (
-        "observation field telescope charge plasma isotope enzyme crystal cell microscope hypothesis particle equation wavelength irradiated spectrometer genome laboratory detector calibrated fossil calorimeter specimen molecule polymer replicated synthesised titrated sediment catalyst observed reagent"
-        " messung kristall teilchen versuch labor isotop enzym mikroskop molekül spektrum"
-        " 望远镜 光谱 假说 分子 实验 晶体 样品 同位素 催化剂 显微镜 粒子 酶"
-    ),
-    "software": (
-        "server firmware container encryption virus cluster backup bug parser deployment endpoint kernel release cache patched scheduler backend repository database refactored debugged library thread interface login encrypted rollback script deployed compiled compiler migrated queue"
-        " datenbank schnittstelle übersetzer sicherung programm rechenzentrum zwischenspeicher fehlerbericht quellcode"
-        " 部署 缓存 编译器 代码 备份 服务器 线程 数据库 日志 容器 接口 漏洞"
-    ),
-    "sport": (
-        "training penalty sprint athlete bench qualified tournament medal hurdle fixture match substituted marathon stadium court referee relay squad swimmer pitch wrestler scored trained league championship midfielder outplayed regatta sprinted coach goalkeeper defeated striker"
-        " medaille schiedsrichter pokal liga trainer turnier mannschaft staffel torwart stadion"
-        " 赛程 接力 球队 奖牌 裁判 教练 冠军 体育场 守门员 比赛 运动员 联赛"
-    ),
-    "transport": (
-        "tunnel bus container runway tram unloaded locomotive vessel cargo freight bridge crossing pilot platform truck junction axle congestion docked highway shipped terminal harbour rail ferry driver timetable trailer derailed signal hauled rerouted ferried"
-        " weiche fahrplan hafen brücke fracht bahnsteig güterzug fähre straßenbahn"
-        " 港口 车辆 铁路 桥梁 渡轮 公路 站台 时刻表 信号灯 航线 隧道 货运"
-    ),
+#: Labelled documents that a model is fitted on, at most; those with the least hashes.
+MOST_LABELLED = 4_000
+#: A learned term stands in so many labelled documents of its subject, and is so many times as frequent there as elsewhere.
+LEAST_DOCUMENTS, LIFT = 4, 3.0
+#: Documents of a subject from which its threshold is calibrated.
+LEAST_POSITIVE = 20
+
+#: Curated seeds of each subject, general words for it in English, German and Chinese.
+SEEDS = {
+    "agriculture": "harvest crop livestock soil irrigation tractor ernte acker landwirt saatgut 农业 作物 灌溉 土壤",
+    "culture": "museum theatre orchestra novel painting exhibition konzert gemälde bühne roman 博物馆 艺术 音乐 展览",
+    "defence": "army brigade artillery missile submarine battalion soldat panzer kaserne bundeswehr 军队 导弹 潜艇 演习",
+    "education": "teacher curriculum classroom exam university pupil schule lehrer unterricht hochschule 学校 教师 课程 考试",
+    "energy": "turbine reactor electricity pipeline voltage refinery kraftwerk strom netzspannung windrad 电网 发电 电压 燃料",
+    "finance": "bond dividend mortgage audit loan treasury zins anleihe bilanz kredit 债券 贷款 利率 审计",
+    "health": "patient vaccine surgeon diagnosis therapy infection arzt impfung patient krankenhaus 患者 疫苗 手术 诊断",
+    "law": "court plaintiff defendant verdict statute attorney gericht urteil klage anwalt 法院 判决 律师 诉讼",
+    "science": "microscope molecule experiment hypothesis laboratory telescope versuch molekül labor forschung 实验 分子 显微镜 假说",
+    "software": "compiler database server algorithm repository deployment datenbank quellcode rechner schnittstelle 代码 数据库 服务器 编译器",
+    "sport": "goalkeeper tournament championship referee marathon striker verein trainer torwart meisterschaft 比赛 球队 冠军 裁判",
+    "transport": "railway freight harbour locomotive highway ferry bahnhof güterzug fähre autobahn 铁路 港口 货运 隧道",
 }
 
-
 _END = re.compile(r"(?<=[.!?])[\"”’)]*\s+(?=\S)|[。！？]+|\r?\n[ \t]*\r?\n")
-_HAN = re.compile("[一-鿿]{4}")
+_CONTENT = re.compile("[一-鿿]{4}|[^\\W\\d_]{2,}[^\\n]*?[^\\w][^\\n]*?[^\\W\\d_]{2,}", re.S)
+_LATIN, _HAN = re.compile("[^\\W\\d_一-鿿]{3,}"), re.compile("[一-鿿]+")
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of ``text``; scraps without content aren't counted."""
-    return [s for s in _END.split(text) if s and (len(s) > 12 or _HAN.search(s))]
+    """The sentences of ``text``; a scrap of one word isn't counted."""
+    return [s for s in _END.split(text) if s and _CONTENT.search(s)]
+
+
+def words(sentence: str) -> set[str]:
+    """What may be a term: words of three letters or more, and every two ideographs side by side."""
+    low = sentence.lower()
+    return set(_LATIN.findall(low)) | {r[i : i + 2] for r in _HAN.findall(low) for i in range(len(r) - 1)}
+
+
+@dataclass
+class Model:
+    """Weights of terms for subjects, and the thresholds of subjects; small and of bounded size, so it can be sent to the workers."""
+
+    weights: dict[str, dict[str, float]]
+    thresholds: dict[str, float] = field(default_factory=dict)
+
+    def matcher(self) -> Matcher:
+        return Matcher(self.weights)
 
 
 class Matcher:
-    def __init__(self, terms: dict[str, str]):
-        owners: dict[str, list[str]] = defaultdict(list)
-        for subject, words in terms.items():
-            for w in words.split():
-                owners[w].append(subject)
+    def __init__(self, weights: dict[str, dict[str, float]]):
         self.automaton = ahocorasick.Automaton()
-        for w, subjects in owners.items():
-            self.automaton.add_word(w, (len(w), tuple(subjects), OWN if len(subjects) == 1 else SHARED, w[0] < "\u3000"))
+        for w, own in weights.items():
+            self.automaton.add_word(w, (len(w), tuple(own.items()), w[0] < "　", w))
         self.automaton.make_automaton()
 
-    def sentence(self, text: str) -> Counter[str]:
-        """Weight of each subject's terms; words count only as a whole."""
+    def terms(self, text: str) -> Iterator[tuple[str, tuple[tuple[str, float], ...]]]:
+        """Terms of ``text``; words count only as a whole, and terms of ideographs don't overlap."""
         text = text.lower()
-        found: Counter[str] = Counter()
-        for end, (n, subjects, weight, alphabetic) in self.automaton.iter(text):
-            if alphabetic and ((end + 1 < len(text) and text[end + 1].isalpha()) or (end >= n and text[end - n].isalpha())):
+        free = 0
+        for end, (n, own, alphabetic, w) in self.automaton.iter(text):
+            begin = end + 1 - n
+            if alphabetic:
+                if (end + 1 < len(text) and text[end + 1].isalpha()) or (begin and text[begin - 1].isalpha()):
+                    continue
+            elif begin < free:
                 continue
-            for s in subjects:
+            else:
+                free = end + 1
+            yield w, own
+
+    def sentence(self, text: str) -> Counter[str]:
+        """Weight of each subject's terms."""
+        found: Counter[str] = Counter()
+        for _, own in self.terms(text):
+            for s, weight in own:
                 found[s] += weight
         return found
 
@@ -131,27 +116,133 @@ class Matcher:
         about: Counter[str] = Counter()
         for s in own:
             for subject, weight in self.sentence(s).items():
-                if weight >= SENTENCE:
+                if weight >= SENTENCE - 1e-9:
                     about[subject] += 1
         return {s: n / len(own) for s, n in about.items()}
 
 
-_matcher: Matcher | None = None
+def seeded(seeds: dict[str, str] = SEEDS) -> Model:
+    """The model of the seeds alone."""
+    owners: dict[str, set[str]] = defaultdict(set)
+    for s, line in seeds.items():
+        for w in line.split():
+            owners[w].add(s)
+    return Model({w: {s: OWN if len(own) == 1 else SHARED for s in own} for w, own in owners.items()})
 
 
-def matcher() -> Matcher:
-    global _matcher
-    if _matcher is None:
-        _matcher = Matcher(TERMS)
-    return _matcher
+def learned(examples: list[tuple[str, set[str]]], seeds: dict[str, str] = SEEDS) -> dict[str, dict[str, float]]:
+    """Seeds and the terms that stand out in documents of a subject, with their weights before rarity.
 
+    ``examples``: texts with their subjects.  A term is counted in sentences, as a document of a subject has many sentences with its terms.
+    """
+    subjects = sorted({s for _, own in examples for s in own} | set(seeds))
+    count = {s: Counter() for s in subjects}
+    documents = {s: Counter() for s in subjects}
+    total: Counter[str] = Counter()
+    size = Counter()
+    all_sentences = 0
+    for text, own in examples:
+        parts = [words(x) for x in sentences(text)]
+        held = Counter(w for p in parts for w in p)
+        total.update(held)
+        all_sentences += len(parts)
+        for s in own & set(subjects):
+            count[s].update(held)
+            documents[s].update(held.keys())
+            size[s] += len(parts)
+    weights: dict[str, dict[str, float]] = {}
+    rates: dict[str, dict[str, float]] = defaultdict(dict)
+    for s in subjects:
+        rest = max(1, all_sentences - size[s])
+        for w, n in count[s].items():
+            if documents[s][w] >= LEAST_DOCUMENTS:
+                inside, outside = n / max(1, size[s]), (total[w] - n + 0.5) / rest
+                if inside >= LIFT * outside:
+                    rates[w][s] = inside
+    for w, own in rates.items():
+        best = max(own.values())
+        kept = [s for s, r in own.items() if r >= 0.4 * best]
+        weights[w] = {s: OWN if len(kept) == 1 else SHARED for s in kept}
+    for w, own in seeded(seeds).weights.items():
+        # a seed that labelled documents know and don't bear out is dropped
+        if total[w] < 3 * LEAST_DOCUMENTS:
+            weights.setdefault(w, own)
+    return weights
+
+
+def rarity(weights: dict[str, dict[str, float]], rows: DataFrame, text_col: str) -> dict[str, dict[str, float]]:
+    """``weights`` raised by how rare each term is among all texts of ``rows``."""
+    plain = Model(weights)
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        m = plain.matcher()
+        n: Counter[str] = Counter()
+        texts = 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    texts += 1
+                    n.update({w for w, _ in m.terms(t)})
+        n[""] = texts
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+    found = {r.term: r.n for r in rows.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    total = max(1, found.pop("", 1))
+    idf = {w: math.log((total + 1) / (found.get(w, 0) + 1)) for w in weights}
+    order = sorted(idf.values())
+    middle = order[len(order) // 2] if order else 1.0
+    return {w: {s: x * min(RAREST, max(1.0, idf[w] / middle if middle else 1.0)) for s, x in own.items()} for w, own in weights.items()}
+
+
+def thresholds(examples: list[tuple[str, set[str]]], model: Model) -> dict[str, float]:
+    """Of each subject the threshold that agrees best with the labels, the middle one of the best; for subjects with few labels ``SHARE``."""
+    m = model.matcher()
+    scored = [(m.shares(t), own) for t, own in examples]
+    out = {}
+    for s in sorted({x for own in model.weights.values() for x in own}):
+        points = [(sh.get(s, 0.0), s in own) for sh, own in scored]
+        positive = sum(y for _, y in points)
+        if positive < LEAST_POSITIVE:
+            continue
+        f1 = {}
+        for step in range(10, 41):
+            t = step / 100
+            hit = sum(1 for x, y in points if y and x >= t)
+            said = sum(1 for x, _ in points if x >= t)
+            f1[t] = 2 * hit / max(1, said + positive)
+        best = max(f1.values())
+        near = [t for t, v in f1.items() if v >= best - 0.002]
+        out[s] = near[len(near) // 2]
+    return out
+
+
+def labelled(rows: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, most: int = MOST_LABELLED) -> list[tuple[str, set[str]]]:
+    """Texts and subjects of at most ``most`` labelled documents, those with the least hashes of their ids.
+
+    Labels are compared in lower case; "none" means no subject; repeated labels count once.
+    """
+    wanted = labels.select(F.col(id_col), F.lower(F.trim(label_col)).alias("subject")).where(f"subject is not null and {id_col} is not null")
+    wanted = wanted.groupBy(id_col).agg(F.collect_set("subject").alias("truth")).orderBy(F.xxhash64(id_col), id_col).limit(most)
+    found = rows.select(id_col, text_col).where(F.length(text_col) > 0).join(F.broadcast(wanted), id_col).orderBy(F.xxhash64(id_col), id_col).collect()
+    return [(r[1], set(r[2]) - {"none"}) for r in found]
+
+
+def fit(rows: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, most: int = MOST_LABELLED) -> Model:
+    """Terms, weights and thresholds: terms and thresholds from a bounded sample of labelled documents, rarity from all rows."""
+    examples = labelled(rows, id_col, text_col, labels, label_col, most)
+    model = Model(rarity(learned(examples), rows, text_col))
+    model.thresholds = thresholds(examples, model)
+    return model
 
-def shares(rows: DataFrame, id_col: str, text_col: str, chosen: list[str] | None = None) -> DataFrame:
+
+def shares(rows: DataFrame, id_col: str, text_col: str, chosen: list[str] | None = None, model: Model | None = None) -> DataFrame:
     """(id, subject, share) for every subject that at least one sentence is about.  ``chosen``: a closed list of subjects."""
-    allowed = set(TERMS if chosen is None else chosen)
+    model = model or seeded()
+    allowed = set(chosen) if chosen is not None else {s for own in model.weights.values() for s in own}
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        m = matcher()
+        m = sent.value.matcher()
         for b in batches:
             at, subject, share = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -166,12 +257,16 @@ def shares(rows: DataFrame, id_col: str, text_col: str, chosen: list[str] | None
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, subject string, share double")
 
 
-def assign(rows: DataFrame, id_col: str, text_col: str, chosen: list[str] | None = None, share: float = SHARE) -> DataFrame:
-    """(id, subject, share): every subject of each text at or above the threshold."""
-    return shares(rows, id_col, text_col, chosen).where(F.col("share") >= share)
+def assign(rows: DataFrame, id_col: str, text_col: str, chosen: list[str] | None = None, model: Model | None = None) -> DataFrame:
+    """(id, subject, share): every subject of each text at or above the subject's threshold."""
+    model = model or seeded()
+    limit = F.lit(SHARE)
+    for s, t in model.thresholds.items():
+        limit = F.when(F.col("subject") == s, t).otherwise(limit)
+    return shares(rows, id_col, text_col, chosen, model).where(F.col("share") >= limit)
 
 
-def composition(rows: DataFrame, id_col: str, text_col: str, chosen: list[str]) -> DataFrame:
+def composition(rows: DataFrame, id_col: str, text_col: str, chosen: list[str], model: Model | None = None) -> DataFrame:
     """(subject, documents, document_share, chars): the part of each subject in the corpus; a document counts for each of its subjects.
 
     Subjects without a document are kept with zeros; "none" stands for documents of no subject.
@@ -179,34 +274,10 @@ def composition(rows: DataFrame, id_col: str, text_col: str, chosen: list[str])
     spark = rows.sparkSession
     base = rows.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("chars"), F.col(text_col).alias("text"))
     own = F.struct("id", "chars")
-    said = checkpoint(assign(base.select(own.alias("own"), "text"), "own", "text", chosen).select("id.id", "id.chars", "subject"))
+    said = checkpoint(assign(base.select(own.alias("own"), "text"), "own", "text", chosen, model).select("id.id", "id.chars", "subject"))
     found = said.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
     some = said.select("id").distinct().count()
     total = base.count()
     names = spark.createDataFrame([(s,) for s in chosen], "subject string")
     listed = names.join(found, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
     return listed.withColumn("document_share", F.col("documents") / F.lit(max(1, total))).withColumn("without_subject", F.lit(total - some).cast("long"))
-
-
-def calibrate(rows: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, most: int = 5_000) -> tuple[float, float]:
-    """(threshold, F1): the share that agrees best with the labels of at most ``most`` labelled documents.
-
-    Labels are compared in lower case; "none" means no subject; repeated labels count once.
-    """
-    wanted = labels.select(F.col(id_col), F.lower(F.trim(label_col)).alias("subject")).where("subject is not null").groupBy(id_col).agg(F.collect_set("subject").alias("truth")).orderBy(F.xxhash64(id_col)).limit(most)
-    truth = {r[0]: set(r[1]) - {"none"} for r in wanted.collect()}
-    sample = rows.join(wanted.select(id_col), id_col, "left_semi")
-    got: dict[object, dict[str, float]] = defaultdict(dict)
-    for r in shares(sample, id_col, text_col).collect():
-        got[r[0]][r[1]] = r[2]
-    best = (SHARE, 0.0)
-    for step in range(10, 41):
-        t = step / 100
-        tp = fp = fn = 0
-        for d, own in truth.items():
-            said = {s for s, x in got[d].items() if x >= t}
-            tp, fp, fn = tp + len(said & own), fp + len(said - own), fn + len(own - said)
-        f1 = 2 * tp / max(1, 2 * tp + fp + fn)
-        if f1 > best[1]:
-            best = (t, f1)
-    return best

@@ -337,9 +337,25 @@ def test_subjects(spark):
 
 
 def test_held_out_accuracy_of_subjects(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "subject_labels"))
-    _, f1 = subjects.calibrate(docs, "doc_id", "text", labels, "subject")
-    assert f1 > 0.85
+    """Fitted on one half of the labels of sf0.1, measured on the other; the labels' own errors count against it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "subject_labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    model = subjects.fit(docs, "doc_id", "text", labels.where(half == 0), "subject")
+    m = model.matcher()
+    tp = fp = fn = 0
+    for text, own in subjects.labelled(docs, "doc_id", "text", labels.where(half == 1), "subject"):
+        said = {s for s, x in m.shares(text).items() if x >= model.thresholds.get(s, subjects.SHARE)}
+        tp, fp, fn = tp + len(said & own), fp + len(said - own), fn + len(own - said)
+    assert 2 * tp / (2 * tp + fp + fn) > 0.93
+
+
+def test_subject_terms_are_learned_and_weighed():
+    plain = "Nothing in this line matters here. Some other line follows it."
+    examples = [("The zorf met the quil near a field. A quil took the zorf along.", {"sport"}), (plain, set())] * 30
+    weights = subjects.learned(examples)
+    assert weights["zorf"] == {"sport": subjects.OWN} and "line" not in weights
+    assert subjects.Model(weights).matcher().shares(examples[0][0]) == {"sport": 1.0}
+    assert subjects.thresholds(examples, subjects.Model(weights))["sport"] > 0.1
 
 
 def test_empty_tables(spark):
