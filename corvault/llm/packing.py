@@ -128,3 +128,10 @@ def _slots(patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         container += count
     rows.sort()
     return tuple(np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+
+
+def usage(packed: DataFrame, capacity: int) -> DataFrame:
+    """(containers, filled, least_containers, unused): one row; no packing can do with fewer than ``least_containers``, ``unused`` is the share of all room that is left."""
+    n = packed.groupBy("container_id").agg(F.sum("size").alias("filled")).agg(F.count("*").alias("containers"), F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"))
+    room = F.col("containers") * capacity
+    return n.select("containers", "filled", F.ceil(F.col("filled") / capacity).alias("least_containers"), F.when(room > 0, 1 - F.col("filled") / room).otherwise(0.0).alias("unused"))

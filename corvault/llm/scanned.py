@@ -32,9 +32,9 @@ CONFUSIONS = (
     ("rn", "m"), ("ii", "u"), ("9", "g"), ("b", "h"), ("b", "ti"), ("vv", "w"), ("1", "i"), ("|", "l"), ("|", "i"), ("6", "b"),
     ("8", "b"), ("I", "l"), ("O", "o"), ("h", "li"), ("m", "rn"), ("d", "cl"), ("rm", "nn"), ("nn", "m"), ("á", "a"), ("ó", "o"), ("í", "i"), ("ü", "u"), ("q", "g"),
 )
-#: Longest line of a page of short lines.
-WIDEST = 90
-#: Words of three letters or more that a running header has at most.
+#: Longest line of a page of short lines; one line in five may be longer.
+WIDEST, WIDE_PART = 90, 5
+#: A header of more words of three letters or more than this has four fifths of them in common with others, a shorter one half.
 LONGEST_HEADER = 8
 #: A frequent word stands at least so often in texts that aren't scanned, and so many times as often as its misreading.
 FREQUENT, RATIO = 4, 8
@@ -64,7 +64,7 @@ def skeleton(word: str) -> str:
 def is_page(text: str) -> bool:
     """Whether ``text`` has the shape of a page of short lines."""
     lines = [x for x in text.split("\n") if x.strip()]
-    return len(lines) >= 2 and max(map(len, lines)) <= WIDEST and not any(x.startswith(("    ", "- ", "|", "def ")) for x in lines[:4])
+    return len(lines) >= 2 and WIDE_PART * sum(len(x) > WIDEST for x in lines) <= len(lines) and not any(x.startswith(("    ", "- ", "|", "def ")) for x in lines[:4])
 
 
 def _stem(line: str) -> str | None:
@@ -124,7 +124,8 @@ def page(text: str) -> dict:
 
 def _short_lines(text):
     """SQL form of the cheap part of :func:`is_page`."""
-    return F.instr(text, "\n").cast("boolean") & ~text.rlike("[^\\n]{%d}" % (WIDEST + 1))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")) != "")
+    return F.instr(text, "\n").cast("boolean") & (WIDE_PART * F.size(F.filter(lines, lambda x: F.length(x) > WIDEST)) <= F.size(lines))
 
 
 def words(rows: DataFrame) -> DataFrame:
@@ -232,7 +233,7 @@ def analyse(rows: DataFrame, id_col: str, text_col: str, file_col: str, order_co
     running = running.join(sizes.select("file", "pages"), "file").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * 0.2))).select("file", "w")
     of_line = shaped.select("id", "file", "no", F.size("first_words").alias("words"), F.explode("first_words").alias("w"))
     known = of_line.join(running, ["file", "w"]).groupBy("id", "file", "no").agg(F.count("*").alias("shared"), F.first("words").alias("words"))
-    headed = known.where((F.col("shared") >= 2) & (F.col("shared") >= 0.5 * F.col("words")) & (F.col("words") <= LONGEST_HEADER)).select("id", "file", F.lit(True).alias("running"))
+    headed = known.where((F.col("shared") >= 2) & (F.col("shared") >= F.when(F.col("words") <= LONGEST_HEADER, 0.5).otherwise(0.8) * F.col("words"))).select("id", "file", F.lit(True).alias("running"))
     # a file is scanned if its rows are mostly such pages and show headers or page numbers
     total = named.where("file is not null").groupBy("file").agg(F.count("*").alias("rows"))
     evidence = shaped.select("file", "id", "page_no", "numbered").join(headed.select("id", "running").distinct(), "id", "left")

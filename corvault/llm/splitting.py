@@ -69,7 +69,9 @@ def split_text(text: str, limit: int = 1000, overlap: int = 100) -> list[tuple[i
                 break
         if cut < 0:
             # an atom longer than the room beside the overlap: give up overlap before cutting into it
-            if len(text) - done <= limit:
+            rest = text[done:]
+            # a last stretch of just the limit without any boundary leaves no room for the overlap, so it is cut
+            if len(rest) < limit or (len(rest) == limit and any(c in BOUNDARIES for c in rest)):
                 pieces.append((len(text) - limit, len(text), "end"))
                 return pieces
             cut = _last_within(levels[-1][1], done, done + limit)

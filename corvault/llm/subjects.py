@@ -1,8 +1,9 @@
 """Subject areas of documents.
 
 Method: a multi-pattern automaton finds weighted subject terms.  The terms are curated seeds and words
-that stand out in labelled documents of a subject (:func:`fit`); a term weighs more the rarer it is in the
-corpus, and less if several subjects share it.  A sentence is about a subject if the terms of it reach
+that stand out in labelled documents of a subject (:func:`learned`) and, over all documents, words that keep
+company with these (:func:`spread`); a term weighs more the rarer it is in the corpus, and less if several
+subjects share it.  A sentence is about a subject if the terms of it reach
 ``SENTENCE``; one passing mention doesn't.  The number of such sentences is normalised by the length of the
 document in sentences, and every subject whose share reaches its own calibrated threshold is assigned.
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvault.runtime import checkpoint
@@ -33,7 +34,9 @@ SHARE = 0.22
 #: Labelled documents that a model is fitted on, at most; those with the least hashes.
 MOST_LABELLED = 4_000
 #: A learned term stands in so many labelled documents of its subject, and is so many times as frequent there as elsewhere.
-LEAST_DOCUMENTS, LIFT = 4, 3.0
+LEAST_DOCUMENTS, LIFT = 4, 4.0
+#: Of all sentences with a word, so many and such a part hold other terms of a subject if it is to be a term of it; terms of a subject at most.
+LEAST_SENTENCES, PRECISION, MOST_TERMS = 8, 0.45, 2_000
 #: Documents of a subject from which its threshold is calibrated.
 LEAST_POSITIVE = 20
 
@@ -170,28 +173,81 @@ def learned(examples: list[tuple[str, set[str]]], seeds: dict[str, str] = SEEDS)
     return weights
 
 
-def rarity(weights: dict[str, dict[str, float]], rows: DataFrame, text_col: str) -> dict[str, dict[str, float]]:
-    """``weights`` raised by how rare each term is among all texts of ``rows``."""
+def spread(weights: dict[str, dict[str, float]], rows: DataFrame, text_col: str) -> dict[str, dict[str, float]]:
+    """``weights`` after one look at all texts of ``rows``: words that keep company with a subject's terms join them, terms that don't leave, rare ones weigh more.
+
+    A word is counted for a subject in each sentence that holds another term of it.  What is collected are the words that pass, so many
+    for each subject at most (``MOST_TERMS``).
+    """
     plain = Model(weights)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         m = plain.matcher()
-        n: Counter[str] = Counter()
-        texts = 0
+        n: Counter[tuple[str, str]] = Counter()
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "subject", "n"])
+            n.clear()
+            return batch
+
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
-                    texts += 1
-                    n.update({w for w, _ in m.terms(t)})
-        n[""] = texts
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
-
-    found = {r.term: r.n for r in rows.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = max(1, found.pop("", 1))
-    idf = {w: math.log((total + 1) / (found.get(w, 0) + 1)) for w in weights}
+                if not t:
+                    continue
+                here: set[str] = set()
+                for x in sentences(t):
+                    own = words(x)
+                    here |= own
+                    n["", ""] += 1
+                    n.update((w, "") for w in own)
+                    found = {w: dict(o) for w, o in m.terms(x)}
+                    total: Counter[str] = Counter()
+                    for o in found.values():
+                        total.update(o)
+                    for s_, weight in total.items():
+                        n["", s_] += 1
+                        # a term is no evidence for itself
+                        n.update((w, s_) for w in own if weight - found.get(w, {}).get(s_, 0) >= SENTENCE / 2)
+                n["", "-"] += 1
+                n.update((w, "-") for w in here)
+            if len(n) > 400_000:
+                yield out()
+        yield out()
+
+    counted = checkpoint(rows.select(text_col).mapInArrow(count, "term string, subject string, n long").groupBy("term", "subject").agg(F.sum("n").alias("n")))
+    base = {r.subject: r.n for r in counted.where("term = ''").collect()}
+    every, texts = max(1, base.pop("", 1)), max(1, base.pop("-", 1))
+    total = counted.where("subject = ''").select("term", F.col("n").alias("total"))
+    docs = counted.where("subject = '-'").select("term", F.col("n").alias("docs"))
+    rate = F.lit(1.0)
+    for s_, n_ in base.items():
+        rate = F.when(F.col("subject") == s_, n_ / every).otherwise(rate)
+    part = F.col("n") / F.col("total")
+    passed = counted.where("subject not in ('', '-') and term != ''").where(F.col("n") >= LEAST_SENTENCES).join(total, "term").where((part >= PRECISION) & (part >= LIFT * rate))
+    best = Window.partitionBy("subject").orderBy(F.desc("n"), "term")
+    passed = passed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= MOST_TERMS).join(docs, "term").select("term", "subject", part.alias("part"), "docs").collect()
+    known = {r.term: r for r in docs.join(F.broadcast(rows.sparkSession.createDataFrame([(w,) for w in weights] or [("",)], "term string")), "term").join(total, "term").collect()}
+    parts: dict[str, dict[str, float]] = defaultdict(dict)
+    df = {w: r.docs for w, r in known.items()}
+    for r in passed:
+        parts[r.term][r.subject] = r.part
+        df[r.term] = r.docs
+    # two ideographs across the border of words go where a much more frequent pair overlaps them
+    often: dict[tuple[int, str], int] = {}
+    for w in parts:
+        if w[0] >= "\u3000":
+            for side in (0, 1):
+                often[side, w[side]] = max(often.get((side, w[side]), 0), df[w])
+    for w in [w for w in parts if w[0] >= "\u3000" and max(often.get((1, w[0]), 0), often.get((0, w[1]), 0)) > 2 * df[w]]:
+        del parts[w]
+    made = {w: {s_: OWN if sum(x >= 0.4 * max(own.values()) for x in own.values()) == 1 else SHARED for s_, x in own.items() if x >= 0.4 * max(own.values())} for w, own in parts.items()}
+    for w, own in weights.items():
+        if w not in made and (w not in known or known[w].total < 2 * LEAST_SENTENCES):
+            made[w] = own
+    idf = {w: math.log((texts + 1) / (df.get(w, 0) + 1)) for w in made}
     order = sorted(idf.values())
     middle = order[len(order) // 2] if order else 1.0
-    return {w: {s: x * min(RAREST, max(1.0, idf[w] / middle if middle else 1.0)) for s, x in own.items()} for w, own in weights.items()}
+    return {w: {s_: x * min(RAREST, max(1.0, idf[w] / middle if middle else 1.0)) for s_, x in own.items()} for w, own in made.items()}
 
 
 def thresholds(examples: list[tuple[str, set[str]]], model: Model) -> dict[str, float]:
@@ -230,7 +286,7 @@ def labelled(rows: DataFrame, id_col: str, text_col: str, labels: DataFrame, lab
 def fit(rows: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str, most: int = MOST_LABELLED) -> Model:
     """Terms, weights and thresholds: terms and thresholds from a bounded sample of labelled documents, rarity from all rows."""
     examples = labelled(rows, id_col, text_col, labels, label_col, most)
-    model = Model(rarity(learned(examples), rows, text_col))
+    model = Model(spread(learned(examples), rows, text_col))
     model.thresholds = thresholds(examples, model)
     return model
 
