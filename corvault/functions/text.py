@@ -5,7 +5,9 @@ All are built from JVM-side expressions unless a function says otherwise.  Null
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: what ``str.strip`` and ``\s`` take for blank.
@@ -72,7 +74,9 @@ def remove_garbage(c: Column) -> Column:
 
 
 def garbage_pieces(c: Column) -> Column:
-    return F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in _GARBAGE)))
+    found = F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in _GARBAGE)))
+    # one look is enough for the most texts
+    return F.when(c.rlike("|".join(_GARBAGE)), found).otherwise(F.array().cast("array<string>"))
 
 
 def garbage_ratio(c: Column) -> Column:
@@ -137,29 +141,55 @@ def id_cards(c: Column) -> Column:
     )
 
 
-def quality(c: Column) -> dict[str, Column]:
-    """Readability, structure, richness and the overall score of 0 to 100; empty text scores 0."""
-    parts = lines(c)
-    mean = F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x)) / F.size(parts)
-    ratio = garbage_ratio(c)
-    readable = F.lit(100) - F.when(mean > 200, 20).otherwise(0) - F.when(mean < 10, 20).otherwise(0) - F.when(is_garbage(c), F.floor(ratio * 100)).otherwise(0)
-    # the heading pattern sees the text as one line, so only a text that is one heading has any
-    heading = c.rlike(rf"^#{{1,6}}[{SPACE}]+[^\n]+\n?$")
-    level = F.length(F.regexp_extract(c, "^(#{1,6})", 1))
-    structure = F.lit(100) - F.when(~heading & (F.length(c) > 1000), 30).otherwise(0) - F.when(heading & (level > 1), 10).otherwise(0)
-    han = F.size(F.regexp_extract_all(c, F.lit(f"[{HAN}]"), F.lit(0)))
-    latin = F.size(F.regexp_extract_all(c, F.lit("[a-zA-Z]{3,}"), F.lit(0)))
-    paragraphs = F.split(c, "\n\n")
+def quality(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with readability, structure, content_richness, overall_score (0 to 100) and up to five issues; empty text scores 0.
+
+    Pieces and counts are made once, in an inner select, and only then put together.
+    """
+    c = F.col(text_col)
+    paragraphs, parts = F.split(c, "\n\n"), lines(c)
     distinct = F.array_distinct(F.transform(F.filter(paragraphs, lambda p: F.length(p) > 50), lambda p: F.substring(p, 1, 100)))
-    rich = (
-        F.lit(100)
-        - F.when((han + 2 * latin) / F.length(c) < 0.3, 30).otherwise(0)
-        - F.when((F.size(paragraphs) > 5) & (F.size(distinct) / F.size(paragraphs) < 0.8), 20).otherwise(0)
+    made = df.withColumns(
+        {
+            "g_": garbage_pieces(c),
+            "q_": F.struct(
+                F.length(c).alias("size"),
+                # the lines' lengths add up to the text's without its line ends
+                ((F.length(c) - F.size(parts) + 1) / F.size(parts)).alias("mean"),
+                # the heading pattern sees the text as one line, so only a text that is one heading has any
+                c.rlike(rf"^#{{1,6}}[{SPACE}]+[^\n]+\n?$").alias("heading"),
+                F.length(F.regexp_extract(c, "^(#{1,6})", 1)).alias("level"),
+                (F.length(c) - F.length(F.regexp_replace(c, f"[{HAN}]", ""))).alias("han"),
+                F.regexp_count(c, F.lit("[a-zA-Z]{3,}")).alias("latin"),
+                F.size(paragraphs).alias("paragraphs"),
+                F.size(distinct).alias("distinct"),
+            ),
+        }
     )
-    some = F.length(c) > 0
-    readable, structure, rich = (F.when(some, F.greatest(F.lit(0), x)).otherwise(0).cast("int") for x in (readable, structure, rich))
-    overall = F.floor(F.round(readable * 0.4 + structure * 0.3 + rich * 0.3, 6)).cast("int")
-    return {"overall_score": overall, "readability": readable, "structure": structure, "content_richness": rich}
+    q = lambda n: F.col(f"q_.{n}")
+    made = made.withColumn("r_", F.when(q("size") > 0, F.aggregate("g_", F.lit(0), lambda s, x: s + F.length(x)) / q("size")).otherwise(0.0))
+    made = made.withColumn("b_", (F.col("r_") > 0.01) | (F.size(F.array_distinct(F.transform("g_", lambda x: F.substring(x, 1, 50)))) > 5))
+    flaws = {
+        "readability": [("long_lines", q("mean") > 200, F.lit(20)), ("short_lines", q("mean") < 10, F.lit(20)), ("garbage", F.col("b_"), F.floor(F.col("r_") * 100))],
+        "structure": [("no_headings", ~q("heading") & (q("size") > 1000), F.lit(30)), ("heading_jump", q("heading") & (q("level") > 1), F.lit(10))],
+        "content_richness": [("little_text", (q("han") + 2 * q("latin")) / q("size") < 0.3, F.lit(30)), ("repeated_paragraphs", (q("paragraphs") > 5) & (q("distinct") / q("paragraphs") < 0.8), F.lit(20))],
+    }
+    some = q("size") > 0
+    for name, own in flaws.items():
+        score = F.lit(100)
+        for _, when, points in own:
+            score = score - F.when(when, points).otherwise(0)
+        made = made.withColumn(name, F.when(some, F.greatest(F.lit(0), score)).otherwise(0).cast("int"))
+    said = F.array_compact(F.array(*(F.when(when, F.lit(n)) for own in flaws.values() for n, when, _ in own)))
+    overall = F.floor(F.round(F.col("readability") * 0.4 + F.col("structure") * 0.3 + F.col("content_richness") * 0.3, 6)).cast("int")
+    return made.withColumn("overall_score", overall).withColumn("issues", F.when(some, F.slice(said, 1, 5)).otherwise(F.array(F.lit("empty")))).drop("g_", "q_", "r_", "b_")
+
+
+def title(c: Column) -> Column:
+    """The first heading or short line among the first ten lines."""
+    heads = F.filter(F.transform(F.slice(lines(c), 1, 10), strip), lambda x: x != "")
+    heading = F.get(F.filter(heads, lambda x: x.rlike(r"^#{1,6}\s")), F.lit(0))
+    return F.coalesce(F.regexp_replace(heading, r"^#{1,6}\s+", ""), F.get(F.filter(heads, lambda x: F.length(x) <= 100), F.lit(0)), F.lit(""))
 
 
 def clean_markdown(c: Column) -> Column:
@@ -225,36 +255,80 @@ def chunk_kind(path: Column) -> Column:
 
 
 def format_time(seconds: Column) -> Column:
-    return F.when(seconds < 60, F.format_string("%.0f s", seconds)).when(seconds < 3600, F.format_string("%.1f min", seconds / 60)).otherwise(F.format_string("%.1f h", seconds / 3600))
+    return F.when(seconds < 60, F.format_string("%.1f s", seconds)).when(seconds < 3600, F.format_string("%.1f min", seconds / 60)).otherwise(F.format_string("%.1f h", seconds / 3600))
 
 
 def percent(c: Column) -> Column:
-    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(F.format_string("%.1f%%", F.round(c * 100, 1)))
+    """``c``, at least zero, in percent with one decimal, halves up; null and NaN have none."""
+    y = c * 100
+    whole = F.floor(y)
+    rest = y - whole
+    tenth = F.floor(rest * 10)
+    # 20 * rest against an odd number, in steps that lose no bit
+    up = (16 * rest - (2 * tenth + 1)) + 4 * rest >= 0
+    n = whole * 10 + tenth + up.cast("int")
+    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(F.format_string("%d.%d%%", F.floor(n / 10).cast("long"), (n % 10).cast("long")))
+
+
+#: Labels and colours of the levels.
+LEVEL_LABELS = {"public": "公开", "restricted": "受限", "confidential": "机密"}
+LEVEL_COLOURS = {"restricted": "#FA8C16", "confidential": "#EC4F4F"}
+
+
+def level_label(level: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LEVEL_LABELS.items() for x in kv])[level], F.lit("未知"))
+
+
+def level_colour(level: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LEVEL_COLOURS.items() for x in kv])[level], F.lit("#535353"))
+
+
+def ocr_language(code: Column) -> Column:
+    """The recogniser's language for a language code."""
+    low = F.lower(code)
+    return F.when(low.contains("chi") | low.startswith("ch"), "ch").when(low.contains("jpn"), "japan").when(low.contains("kor"), "korean").otherwise("en")
 
 
 def format_vector(v: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7f", x.cast("double"))), ","), F.lit("]"))
 
 
-def parse_vector(c: Column) -> Column:
-    """The numbers between the vector's marks (fixed values of the exchange format); null where the text isn't such a vector."""
-    return F.from_json(F.regexp_extract(c, r"/ARAG-begin/(\[[^\]]*\])/ARAG-end/", 1), "array<double>")
+#: Marks around a vector in text; another exchange format can name its own.
+MARKS = ("/vector-begin/", "/vector-end/")
+
+
+def write_vector(v: Column, marks: tuple[str, str] = MARKS) -> Column:
+    return F.concat(F.lit(marks[0]), format_vector(v), F.lit(marks[1]))
+
+
+def parse_vector(c: Column, marks: tuple[str, str] = MARKS) -> Column:
+    """The numbers between the vector's marks; null where the text isn't such a vector."""
+    return F.from_json(F.regexp_extract(c, rf"{re.escape(marks[0])}(\[[^\]]*\]){re.escape(marks[1])}", 1), "array<double>")
 
 
-def parse_similarities(c: Column) -> Column:
+def with_similarities(c: Column, sims: Column, marks: tuple[str, str] = MARKS) -> Column:
+    """A written vector with (level, similarity) pairs behind it, in place of any that were there."""
+    said = F.array_join(F.transform(sims, lambda s: F.concat(s["level"], F.lit(":"), F.format_string("%.6f", s["similarity"]))), ",")
+    return F.concat(F.regexp_extract(c, rf"^(.*?{re.escape(marks[1])})", 1), said)
+
+
+def parse_similarities(c: Column, marks: tuple[str, str] = MARKS) -> Column:
     """Level to similarity, from what follows the vector; entries that are no numbers are null."""
-    after = F.regexp_extract(c, r"/ARAG-end/(.*)$", 1)
+    after = F.regexp_extract(c, rf"{re.escape(marks[1])}(.*)$", 1)
     return F.when(after != "", F.transform_values(F.str_to_map(after, F.lit(","), F.lit(":")), lambda _, v: v.try_cast("double")))
 
 
-#: Element types of parsed documents and the chunk types they become.
-CHUNK_TYPES = {"title": "heading", "heading": "heading", "table": "table", "image": "image", "figure": "image", "code": "code", "list": "list", "text": "text", "paragraph": "text"}
+#: Element types of parsed documents, as they are spelled, and the chunk types they become.
+CHUNK_TYPES = {
+    "Title": "heading", "Header": "heading", "heading": "heading", "Table": "table", "table": "table", "Image": "image", "image": "image", "Figure": "image", "figure": "image",
+    "Code": "code", "code": "code", "List": "list", "list": "list", "text": "text", "Text": "text", "paragraph": "text", "Paragraph": "text",
+}
 
 
 def chunk_type(c: Column) -> Column:
-    """The chunk type of an element type in any case; an unknown one is other, null is text."""
+    """The chunk type of an element type; an unknown or missing one is other."""
     names = F.create_map(*[x for k, v in CHUNK_TYPES.items() for x in (F.lit(k), F.lit(v))])
-    return F.when(c.isNull(), "text").otherwise(F.coalesce(names[F.lower(F.trim(c))], F.lit("other")))
+    return F.coalesce(names[c], F.lit("other"))
 
 
 def prompt(task: str, c: Column, most: int = 7000) -> Column:
@@ -262,12 +336,16 @@ def prompt(task: str, c: Column, most: int = 7000) -> Column:
     return F.concat(F.lit(task + "\n\n"), F.substring(c, 1, most))
 
 
+#: Fixed value: what reads as a number with a fraction, an exponent or a name.
+FLOAT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
+
+
 def coerced(c: Column) -> Column:
-    """(kind, number): whether a setting's text is a truth value, a whole number, a number or text."""
-    low = F.lower(F.trim(c))
-    truth = F.when(low.isin("true", "yes", "on"), 1.0).when(low.isin("false", "no", "off"), 0.0)
-    kind = F.when(truth.isNotNull(), "bool").when(low.rlike("^[+-]?[0-9]+$"), "int").when(low.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), "float").otherwise("text")
-    return F.struct(kind.alias("kind"), F.coalesce(truth, F.when(kind.isin("int", "float"), low.try_cast("double"))).alias("number"))
+    """(kind, number): whether a setting's text is a truth value, a whole number, a number or text; blanks around a number don't count, around a word they do."""
+    truth = F.when(F.lower(c).isin("true", "yes", "on"), 1.0).when(F.lower(c).isin("false", "no", "off"), 0.0)
+    low = F.lower(strip(c))
+    kind = F.when(truth.isNotNull(), "bool").when(low.rlike("^[+-]?[0-9]+(_[0-9]+)*$"), "int").when(low.rlike(FLOAT), "float").otherwise("text")
+    return F.struct(kind.alias("kind"), F.coalesce(truth, F.when(kind.isin("int", "float"), F.regexp_replace(low, "_", "").try_cast("double"))).alias("number"))
 
 
 def markers(c: Column) -> Column:

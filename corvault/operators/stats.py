@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvault.runtime import shuffle_partitions
+
 
 def level_counts(df: DataFrame, levels: DataFrame, key: str) -> DataFrame:
     """Distinct keys of every level, levels without rows too, and a row of level null for all."""
@@ -33,10 +35,12 @@ def keywords(df: DataFrame, id_col: str, text_col: str, top: int, stop_words: li
 
     han = F.regexp_extract_all(F.col(text_col), F.lit(f"[{HAN}]{{2,4}}"), F.lit(0))
     latin = F.transform(F.regexp_extract_all(F.col(text_col), F.lit("[a-zA-Z]{3,}"), F.lit(0)), F.lower)
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(F.concat(han, latin)).alias("pos", "keyword"))
+    # a text moves once, before it becomes rows; what follows is grouped by its id
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col)).where(F.col(text_col).isNotNull()).repartition(shuffle_partitions(df.sparkSession), "id")
+    rows = own.select("id", F.posexplode(F.concat(han, latin)).alias("pos", "keyword"))
     n = rows.where(~F.col("keyword").isin(stop_words)).groupBy("id", "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy("id").orderBy(F.desc("n"), "first")
-    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("id", "keyword", "n", "rank")
+    best = n.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "keyword"))), 1, top).alias("best"))
+    return best.select("id", F.posexplode("best").alias("rank", "b")).select("id", "b.keyword", (-F.col("b.n")).alias("n"), (F.col("rank") + 1).alias("rank"))
 
 
 def boilerplate_lines(df: DataFrame, doc_col: str, page_col: str, text_col: str, part: float = 0.6) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvault.functions import embedding, scores
+from corvault.functions import embedding, models, scores
 from corvault.functions import text as T
 from corvault.operators import chunking, ingest, intervals, literal, similarity, stats
-from corvault.plans import compare, dedup
+from corvault.plans import compare, dedup, pipeline, status
 from corvault.runtime import checkpoint, read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,8 +162,8 @@ def extract_metadata(spark, sf_dir):
     SELECT doc_id, floor(round(readability * 0.4::DOUBLE + structure * 0.3::DOUBLE + content_richness * 0.3::DOUBLE, 6))::INT AS overall_score, readability::INT AS readability, structure::INT AS structure, content_richness::INT AS content_richness FROM s"""
 )
 def quality_score(spark, sf_dir):
-    q = T.quality(F.col("text"))
-    return read(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", *(c.alias(n) for n, c in q.items()))
+    q = T.quality(read(spark, sf_dir, "documents").where("length(text) > 0"), "text")
+    return q.select("doc_id", "overall_score", "readability", "structure", "content_richness")
 
 
 @query(
@@ -216,12 +216,15 @@ def wrapped_chunks(spark, sf_dir):
     return w.withColumn("body", T.unwrap_chunk(F.col("wrapped")))
 
 
-@query("SELECT vec_id, len(embedding) AS parsed, true AS faithful FROM embeddings")
+@query("""SELECT vec_id, len(embedding) AS parsed, round(list_sum(embedding::DOUBLE[]), 4) AS total, round(embedding[1]::DOUBLE, 7) AS first, round(embedding[len(embedding)]::DOUBLE, 7) AS last,
+    round((vec_id % 7) / 10.0::DOUBLE, 6) AS public, NULL::DOUBLE AS restricted FROM embeddings""")
 def vector_codec(spark, sf_dir):
-    """Vectors written as text and read back: to seven decimals the same."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", T.parse_vector(F.concat(F.lit("/ARAG-begin/"), T.format_vector(F.col("embedding")), F.lit("/ARAG-end/"))).alias("p"))
-    near = F.forall(F.zip_with("p", "embedding", lambda x, y: F.abs(x - y.cast("double")) < 1e-7), lambda x: x)
-    return v.select("vec_id", F.size("p").alias("parsed"), near.alias("faithful"))
+    """Vectors written as text with similarities of two levels, one of them spoilt, and all of it read back."""
+    sims = F.array(F.struct(F.lit("public").alias("level"), (F.pmod("vec_id", F.lit(7)) / 10).alias("similarity")))
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.concat(T.with_similarities(T.write_vector(F.col("embedding")), sims), F.lit(",restricted:x")).alias("t"))
+    p = v.select("vec_id", T.parse_vector(F.col("t")).alias("v"), T.parse_similarities(F.col("t")).alias("s"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return p.select("vec_id", F.size("v").alias("parsed"), F.round(total, 4).alias("total"), F.round(F.get("v", F.lit(0)), 7).alias("first"), F.round(F.element_at("v", -1), 7).alias("last"), F.round(F.col("s")["public"], 6).alias("public"), F.col("s")["restricted"].alias("restricted"))
 
 
 _HREFS = ("a/b.html", "HTTPS://x.org", "javascript:alert(1)", "\x01javascript:alert(1)", "data:text/html,x", "mailto:a@b.c", "ftp://x", "#top", "")
@@ -253,8 +256,8 @@ def hard_windows(spark, sf_dir):
 def char_grams(spark, sf_dir):
     """Distinct 8-grams of each chunk."""
     c = read(spark, sf_dir, "chunks").where("text is not null")
-    n = literal.positions(c, "row_id", "text").groupBy(F.col("id").alias("row_id")).agg(F.countDistinct("gram").cast("int").alias("n"))
-    return c.select("row_id").join(n, "row_id", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("grams"))
+    n = literal.gram_counts(c, "row_id", "text").withColumnRenamed("id", "row_id")
+    return c.select("row_id").join(n, "row_id", "left").select("row_id", F.coalesce("grams", F.lit(0)).alias("grams"))
 
 
 _BOXES_SQL = """l AS (SELECT row_id AS id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM chunks WHERE text IS NOT NULL),
@@ -328,15 +331,26 @@ def _rewritten(change):
     return run
 
 
-for _name, _change in (
-    ("without_sections", chunking.without_sections), ("level_headings", chunking.level_headings), ("distinct_paragraphs", chunking.distinct_paragraphs),
-    ("named_links", chunking.named_links), ("contacts_on_lines", chunking.contacts_on_lines),
-):
+for _name, _change in (("without_sections", chunking.without_sections), ("level_headings", chunking.level_headings), ("distinct_paragraphs", chunking.distinct_paragraphs)):
     _f = _rewritten(_change)
     _f.__name__ = _name
     query()(_f)
 
 
+@query(
+    r"""WITH p AS (SELECT row_id, regexp_replace(text, '\]\(h(ttps?://)', '](' || chr(1) || '\1', 'g') AS t FROM chunks),
+    l AS (SELECT row_id, regexp_replace(t, '(https?://([-\p{L}\p{N}_.]+)(?::\d+)?(?:/[\p{L}\p{N}_/.]*(?:\?[\p{L}\p{N}_&=%.]*)?(?:#[\p{L}\p{N}_.]*)?)?)', '[链接: \2](\1)', 'g') AS t FROM p)
+    SELECT row_id, replace(t, chr(1), 'h') AS text FROM l""".replace("\\\\", "\\")
+)
+def named_links(spark, sf_dir):
+    return read(spark, sf_dir, "chunks").select("row_id", chunking.named_links(F.col("text")).alias("text"))
+
+
+@query()
+def contacts_on_lines(spark, sf_dir):
+    return read(spark, sf_dir, "chunks").select("row_id", chunking.contacts_on_lines(F.col("text")).alias("text"))
+
+
 # Scores
 
 _ADJ = "greatest(0, (score - 0.37::DOUBLE) / 0.63::DOUBLE)"
@@ -465,27 +479,28 @@ _GRAMS = f"""t AS (SELECT row_id, batch_no, file_path, translate({_re('text', f'
     g AS (SELECT row_id, batch_no, file_path, unnest(range(0, length(t) - 7)) AS pos, substring(t, unnest(range(0, length(t) - 7))::INT + 1, 8) AS gram FROM t WHERE length(t) >= 8)"""
 
 
-def _grams(spark, sf_dir):
+def _against_history(spark, sf_dir, runs):
     c = read(spark, sf_dir, "chunks")
-    new = literal.positions(c.where("batch_no > 0"), "row_id", "text")
-    old = c.where("batch_no = 0").select(F.struct("row_id", "file_path").alias("k"), "text")
-    return new, literal.positions(old, "k", "text").select(F.col("id.file_path").alias("doc"), "gram")
+    new = c.where("batch_no > 0").select(F.col("row_id").alias("id"), "text")
+    old = c.where("batch_no = 0").select(F.lit("history").alias("level"), F.col("file_path").alias("doc"), "text")
+    return new, literal.against(new, old, runs)
 
 
 @query(f"""WITH {_GRAMS}, q AS (SELECT DISTINCT row_id, gram FROM g WHERE batch_no > 0), i AS (SELECT DISTINCT gram FROM g WHERE batch_no = 0)
     SELECT row_id, count(*) AS grams, count(i.gram) AS hits, round(count(i.gram) / count(*), 6) AS overlap FROM q LEFT JOIN i USING (gram) GROUP BY row_id""")
 def overlap_with_history(spark, sf_dir):
     """The part of the 8-grams of the new batches that stand anywhere in the history."""
-    new, old = _grams(spark, sf_dir)
-    return literal.overlap_with_index(new, old).select(F.col("id").alias("row_id"), "grams", "hits", F.round("overlap", 6).alias("overlap"))
+    new, met = _against_history(spark, sf_dir, False)
+    own = literal.gram_counts(new, "id", "text").join(met.select("id", "hits"), "id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return own.select(F.col("id").alias("row_id"), "grams", "hits", F.round(F.col("hits") / F.col("grams"), 6).alias("overlap"))
 
 
 @query(f"""WITH {_GRAMS}, i AS (SELECT DISTINCT file_path AS doc, gram FROM g WHERE batch_no = 0), h AS (SELECT row_id, doc, pos FROM g JOIN i USING (gram) WHERE batch_no > 0),
     s AS (SELECT *, pos - row_number() OVER (PARTITION BY row_id, doc ORDER BY pos) AS island FROM h), r AS (SELECT row_id, doc, island, count(*) + 7 AS run FROM s GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY run DESC, doc) AS n FROM r) SELECT row_id, doc, run FROM b WHERE n = 1""")
 def longest_run_in_history(spark, sf_dir):
-    new, old = _grams(spark, sf_dir)
-    return literal.longest_run_per_document(new, old).withColumnRenamed("id", "row_id")
+    _, met = _against_history(spark, sf_dir, True)
+    return met.select(F.col("id").alias("row_id"), "doc", "run")
 
 
 # Ingest
@@ -615,9 +630,12 @@ def best_hit(spark, sf_dir):
     return similarity.best_per(read(spark, sf_dir, "retrieval_hits").where("score is not null"), ["query_vec_no"], "score", "hit_id").select("query_vec_no", "vec_no", "score")
 
 
-@query("""SELECT hit_id, CASE WHEN score IS NULL THEN '—' ELSE printf('%.1f%%', floor(score * 1000 + 1e-9) / 10) END AS shown FROM retrieval_hits""")
+@query("""SELECT hit_id, CASE WHEN score IS NULL THEN '—' WHEN score * 100 * 4 = floor(score * 100 * 4) THEN printf('%.1f%%', floor(score * 1000 + 0.5::DOUBLE) / 10) ELSE printf('%.1f%%', score * 100) END AS shown,
+    CASE classification WHEN 'public' THEN '公开' WHEN 'restricted' THEN '受限' WHEN 'confidential' THEN '机密' ELSE '未知' END AS label,
+    CASE classification WHEN 'restricted' THEN '#FA8C16' WHEN 'confidential' THEN '#EC4F4F' ELSE '#535353' END AS colour FROM retrieval_hits""")
 def percent_labels(spark, sf_dir):
-    return read(spark, sf_dir, "retrieval_hits").select("hit_id", T.percent(F.floor(F.col("score") * 1000 + 1e-9) / 1000).alias("shown"))
+    level = F.col("classification")
+    return read(spark, sf_dir, "retrieval_hits").select("hit_id", T.percent(F.col("score")).alias("shown"), T.level_label(level).alias("label"), T.level_colour(level).alias("colour"))
 
 
 @query("""SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
@@ -682,16 +700,117 @@ def scores_at(raw: float) -> float:
     return (raw - scores.BASELINE) / (1 - scores.BASELINE)
 
 
+# States and statistics
+
+
+@query(f"""WITH p AS (SELECT {LEVEL_SQL} AS level, file_path FROM incoming_files), i AS (SELECT {LEVEL_SQL} AS level, source FROM chunks WHERE batch_no = 0),
+    e AS (SELECT l.classification AS level, (SELECT count(*) FROM p WHERE p.level = l.classification) AS pending, (SELECT count(DISTINCT source) FROM i WHERE i.level = l.classification) AS indexed FROM levels l)
+    SELECT level, pending, indexed FROM e UNION ALL SELECT NULL, sum(pending)::BIGINT, sum(indexed)::BIGINT FROM e""")
+def ingest_status(spark, sf_dir):
+    """Files that wait and documents that are indexed, by level and in all."""
+    leveled = lambda d: d.withColumn("level", T.level_of(F.col("classification"), F.col("file_path")))
+    return status.ingest_status(leveled(read(spark, sf_dir, "incoming_files")), leveled(read(spark, sf_dir, "chunks").where("batch_no = 0")), read(spark, sf_dir, "levels"))
+
+
+def _scan_folder(spark, sf_dir):
+    """A working folder made of the chunks' sources: every file, Markdown beside some, parents of some, with vectors for some of these and similarities for some of those."""
+    n = read(spark, sf_dir, "chunks").select(F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1).alias("doc")).distinct().where("doc != ''").select(F.regexp_replace("doc", r"\.md$", "").alias("stem"), F.length("doc").alias("k"))
+    listing = n.select(F.concat("stem", F.lit(".pdf")).alias("name")).unionByName(n.where("k % 3 = 0").select(F.concat("stem", F.lit(".md")).alias("name"))).unionByName(n.where("k % 2 = 0").select(F.concat("stem", F.lit(".parents.json")).alias("name")))
+    text = F.when(F.col("k") % 4 == 0, F.concat(F.lit("".join((T.MARKS[0], "[1.0]", T.MARKS[1]))), F.when(F.col("k") % 8 == 0, "public:0.5").otherwise("")))
+    return listing, n.where("k % 2 = 0").select("stem", text.alias("vector"))
+
+
+_FOLDER = r"""n AS (SELECT DISTINCT regexp_replace(regexp_extract(file_path, '([^/]+)/[^/]+$', 1), '\.md$', '') AS stem, length(regexp_extract(file_path, '([^/]+)/[^/]+$', 1)) AS k FROM chunks WHERE regexp_extract(file_path, '([^/]+)/[^/]+$', 1) != '')"""
+
+
+@query(f"WITH {_FOLDER} SELECT stem, stem || '.pdf' AS name, k % 2 = 0 AS preprocessed, k % 4 = 0 AS embedded, k % 8 = 0 AS compared FROM n")
+def scan_states(spark, sf_dir):
+    """How far each file of a working folder is: saved, preprocessed, embedded, compared."""
+    listing, first = _scan_folder(spark, sf_dir)
+    return status.file_states(listing, first, ["pdf", "md"])
+
+
+@query(f"WITH {_FOLDER} SELECT count(*) AS total_files, count(*) FILTER (k % 2 = 0) AS preprocessed, count(*) FILTER (k % 4 = 0) AS embedded, count(*) FILTER (k % 8 = 0) AS compared FROM n")
+def scan_statistics(spark, sf_dir):
+    listing, first = _scan_folder(spark, sf_dir)
+    return status.folder_statistics(listing, status.file_states(listing, first, ["pdf", "md"]))
+
+
+@query("""WITH s AS (SELECT query_vec_no % 7 AS doc, query_vec_no AS id, coalesce(classification, '') AS level, coalesce(score, 0) AS sim FROM retrieval_hits),
+    t AS (SELECT doc, level, max(sim) AS max_similarity FROM s GROUP BY ALL), e AS (SELECT doc, id, max(sim) AS m FROM s GROUP BY ALL),
+    p AS (SELECT doc, count(*) AS parents, count(*) FILTER (m >= 0.92::DOUBLE) AS parents_skipped FROM e GROUP BY doc),
+    k AS (SELECT h.query_vec_no % 7 AS doc, bool_or(e.m >= 0.92::DOUBLE) AS skipped FROM retrieval_hits h JOIN e ON e.id = h.query_vec_no GROUP BY h.hit_id, h.query_vec_no),
+    c AS (SELECT doc, count(*) AS children, count(*) FILTER (skipped) AS children_skipped FROM k GROUP BY doc)
+    SELECT t.doc, t.level, round(t.max_similarity, 6) AS max_similarity, parents, parents_skipped, children, children_skipped FROM t JOIN p USING (doc) JOIN c USING (doc)""")
+def comparison_statistics(spark, sf_dir):
+    """Logged hits as scored parents in seven documents, and as their children."""
+    h = read(spark, sf_dir, "retrieval_hits")
+    doc, own = (F.col("query_vec_no") % 7).alias("doc"), F.col("query_vec_no").cast("string")
+    scored = h.select(doc, F.col("query_vec_no").alias("id"), own.alias("doc_id"), F.coalesce("classification", F.lit("")).alias("level"), F.coalesce("score", F.lit(0.0)).alias("sim"))
+    s = status.comparison_statistics(scored, h.select("hit_id", doc, own.alias("parent_doc_id")))
+    return s.select("doc", "level", F.round("max_similarity", 6).alias("max_similarity"), "parents", "parents_skipped", "children", "children_skipped")
+
+
+@query("SELECT model_name, count(*) AS n FROM embedding_cache GROUP BY model_name")
+def cache_counts(spark, sf_dir):
+    return status.cached(read(spark, sf_dir, "embedding_cache"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(15)) AS i, embedding FROM embeddings), e AS (SELECT vec_id, i, exp(embedding[i + 1]::DOUBLE) AS e FROM x), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rank FROM p) SELECT vec_id, rank::INT AS rank, 'label ' || i AS label, round(p, 6) AS probability FROM r WHERE rank <= 5""")
+def top_labels(spark, sf_dir):
+    """The first 15 numbers of each vector as logits of labels."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 15), lambda x: x.cast("double")).alias("l"))
+    t = e.select("vec_id", F.posexplode(models.top_labels(F.col("l"), [f"label {i}" for i in range(15)])).alias("rank", "t"))
+    return t.select("vec_id", (F.col("rank") + 1).alias("rank"), "t.label", F.round("t.probability", 6).alias("probability"))
+
+
+@query("""WITH n AS (SELECT row_id, document_name, row_number() OVER (PARTITION BY document_name ORDER BY row_id) - 1 AS n FROM chunks WHERE document_name IS NOT NULL)
+    SELECT row_id, length(document_name) % 3 = 0 AS noise FROM n WHERE n % 50 + 1 <> 7""")
+def noise_verdicts(spark, sf_dir):
+    """Requests for verdicts on chunks, and replies to them read back: a line for each number but 7, and lines that mean nothing."""
+    c = read(spark, sf_dir, "chunks").where("document_name is not null")
+    asked = models.verdict_requests(c.select("row_id", F.coalesce("text", F.lit("")).alias("text"), "document_name"), "row_id", "text", "Which are noise?", "document_name")
+    line = lambda i: F.concat(i.cast("string"), F.when(F.length("group") % 3 == 0, ": yes, it is").otherwise(" : no"))
+    told = F.transform(F.filter(F.sequence(F.lit(1), F.size("ids")), lambda i: i != 7), line)
+    return models.verdicts(asked.select("ids", F.concat(F.array_join(told, "\n"), F.lit("\n99: YES\nx: YES\nnothing")).alias("reply"))).select(F.col("id").alias("row_id"), "noise")
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'start' WHEN 1 THEN 'done' WHEN 2 THEN 'skipped' WHEN 3 THEN 'other' ELSE 'start' END AS phase, CASE event_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'restricted' WHEN 2 THEN 'confidential' ELSE '' END AS level,
+      CASE WHEN event_id % 3 = 0 THEN (event_id % 10) / 10.0::DOUBLE END AS own FROM events),
+    r AS (SELECT * FROM (VALUES ('public', 0.0, 0.33, 0.05), ('restricted', 0.33, 0.67, 0.38), ('confidential', 0.67, 1.0, 0.72)) AS v(level, low, high, first))
+    SELECT event_id, round(CASE WHEN own IS NOT NULL AND low IS NULL THEN own WHEN own IS NOT NULL THEN low::DOUBLE + own * (high - low)::DOUBLE WHEN phase IN ('done', 'skipped') THEN coalesce(high, 0.5)::DOUBLE WHEN phase = 'start' THEN coalesce(first, 0)::DOUBLE ELSE 0.1::DOUBLE END, 6) AS progress
+    FROM e LEFT JOIN r USING (level)""")
+def overall_progress(spark, sf_dir):
+    n = F.col("event_id")
+    phase = F.element_at(F.array(*map(F.lit, ("start", "done", "skipped", "other", "start"))), (n % 5 + 1).cast("int"))
+    level = F.element_at(F.array(*map(F.lit, ("public", "restricted", "confidential", ""))), (n % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", F.round(models.overall_progress(phase, level, F.when(n % 3 == 0, n % 10 / 10)), 6).alias("progress"))
+
+
+@query()
+def processed_documents(spark, sf_dir):
+    """The cleaning pipeline over all documents: sizes before and after, scores, and the number of semantic chunks."""
+    p = pipeline.process(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return p.select(F.col("id").alias("doc_id"), "original_length", "length", "title", "overall_score", F.size("chunks").alias("chunks"))
+
+
+@query()
+def document_chunks(spark, sf_dir):
+    """All documents cleaned and split, with the type of each chunk's lines."""
+    return pipeline.chunk_with_metadata(read(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "chunk_index", "char_start", "char_end", "chunk_type", "document_name")
+
+
 # Smaller operators of ingest, dedup and the services
 
 
-@query("""SELECT event_id, CASE WHEN s < 60 THEN printf('%.0f s', s) WHEN s < 3600 THEN printf('%.1f min', s / 60) ELSE printf('%.1f h', s / 3600) END AS said FROM (SELECT event_id, (event_id * 37 % 9000 * 6 + 1)::DOUBLE AS s FROM events)""")
+@query("""SELECT event_id, CASE WHEN s < 60 THEN printf('%.1f s', s) WHEN s < 3600 THEN printf('%.1f min', s / 60) ELSE printf('%.1f h', s / 3600) END AS said FROM (SELECT event_id, (event_id * 37 % 9000 * 6 + 1)::DOUBLE AS s FROM events)""")
 def format_times(spark, sf_dir):
     s = (F.col("event_id") * 37 % 9000 * 6 + 1).cast("double")
     return read(spark, sf_dir, "events").select("event_id", T.format_time(s).alias("said"))
 
 
-_TYPE_SQL = "CASE " + " ".join(f"WHEN lower(trim(chunk_type)) = '{k}' THEN '{v}'" for k, v in T.CHUNK_TYPES.items()) + " WHEN chunk_type IS NULL THEN 'text' ELSE 'other' END"
+_TYPE_SQL = "CASE WHEN chunk_type IN ('Title', 'Header', 'heading') THEN 'heading' WHEN chunk_type IN ('Image', 'image', 'Figure', 'figure') THEN 'image' WHEN lower(chunk_type) IN ('table', 'code', 'list') THEN lower(chunk_type) WHEN lower(chunk_type) IN ('text', 'paragraph') THEN 'text' ELSE 'other' END"
 
 
 @query(f"SELECT row_id, {_TYPE_SQL} AS chunk_type, length('Give a title.' || chr(10) || chr(10) || substring(coalesce(text, ''), 1, 3000)) AS prompt_chars FROM chunks")
@@ -701,12 +820,12 @@ def chunk_types_and_prompts(spark, sf_dir):
     )
 
 
-_SETTINGS = ("true", " No ", "17", "-3", "0.5", "1e3x", ".5e2", "text", "", "ON")
+_SETTINGS = ("true", " No ", "no", "17", " 17", "-3", "0.5", "1e3", "1e3x", ".5e2", "5.", "text", "", "ON", "0", "1")
 
 
 @query(
-    "WITH v(s) AS (VALUES " + ", ".join(f"('{x}')" for x in _SETTINGS) + r"""), l AS (SELECT s, lower(trim(s)) AS w FROM v),
-    k AS (SELECT s, w, CASE WHEN w IN ('true', 'yes', 'on', 'false', 'no', 'off') THEN 'bool' WHEN regexp_matches(w, '^[+-]?[0-9]+$') THEN 'int' WHEN regexp_matches(w, '^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$') THEN 'float' ELSE 'text' END AS kind FROM l)
+    "WITH v(s) AS (VALUES " + ", ".join(f"('{x}')" for x in _SETTINGS) + r"""), l AS (SELECT s, lower(trim(s)) AS w, lower(s) AS b FROM v),
+    k AS (SELECT s, w, CASE WHEN b IN ('true', 'yes', 'on', 'false', 'no', 'off') THEN 'bool' WHEN regexp_matches(w, '^[+-]?[0-9]+$') THEN 'int' WHEN regexp_matches(w, '^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?[0-9]+e[+-]?[0-9]+$') THEN 'float' ELSE 'text' END AS kind FROM l)
     SELECT s AS setting, kind, CASE kind WHEN 'bool' THEN (w IN ('true', 'yes', 'on'))::INT::DOUBLE WHEN 'text' THEN NULL ELSE TRY_CAST(w AS DOUBLE) END AS number FROM k"""
 )
 def coerced_settings(spark, sf_dir):
@@ -723,14 +842,12 @@ def parent_texts(spark, sf_dir):
     return c.select("row_id", "file_path").join(first, "file_path", "left").select("row_id", "parent", "parent_text")
 
 
-@query("""WITH s AS (SELECT DISTINCT file_path, chunk_index FROM chunks WHERE length(text) > 1000), c AS (SELECT c.row_id, c.chunk_index > coalesce((SELECT min(chunk_index) FROM s WHERE s.file_path = c.file_path), 1000000) AS skipped FROM chunks c)
-    SELECT skipped, count(*) AS chunks FROM c GROUP BY skipped""")
+@query("""SELECT row_id, coalesce(doc_id, '') <> '' AND EXISTS (SELECT 1 FROM chunks p WHERE p.file_path = c.file_path AND p.doc_id = c.doc_id AND length(p.text) > 1000) AS skipped FROM chunks c""")
 def skip_propagation(spark, sf_dir):
-    """Chunks that stand behind a skipped (here: oversized) one of their file, and those that don't."""
+    """Chunks as children of their doc_id: whether a parent of that id in their file is skipped (here: oversized)."""
     c = read(spark, sf_dir, "chunks")
-    from_ = c.where("length(text) > 1000").groupBy("file_path").agg(F.min("chunk_index").alias("s"))
-    flagged = c.join(from_, "file_path", "left").select((F.col("chunk_index") > F.coalesce("s", F.lit(1_000_000))).alias("skipped"))
-    return flagged.groupBy("skipped").agg(F.count("*").alias("chunks"))
+    kids = c.select("row_id", F.col("file_path").alias("doc"), F.col("doc_id").alias("parent_doc_id"))
+    return status.skipped_children(kids, c.where("length(text) > 1000").select(F.col("file_path").alias("doc"), "doc_id")).select("row_id", "skipped")
 
 
 @query("""SELECT 'retired' AS kind, file_path FROM (SELECT file_path FROM indexed_files EXCEPT SELECT file_path FROM incoming_files)
@@ -774,7 +891,7 @@ def metadata_filter(spark, sf_dir):
     return read(spark, sf_dir, "chunks").where("classification = 'confidential' and page = 2").select("row_id", "ts")
 
 
-@query()
+@query("SELECT row_id, chunk_id FROM chunks ORDER BY sha256(row_id || ':3'), row_id LIMIT 100")
 def sampled_chunks(spark, sf_dir):
     """100 chunks without replacement, the same in every run."""
     return ingest.sample(read(spark, sf_dir, "chunks").select("row_id", "chunk_id"), "row_id", 100, seed=3)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,8 +39,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables and checkpoints that all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in local tests, a
-    folder of this machine is made and set.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and the master is local, as
+    in tests, a folder of this machine is made and set; it is removed when Python ends.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -48,7 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvault-checkpoint-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="corvault-checkpoint-")
+        atexit.register(shutil.rmtree, made, True)
+        sc.setCheckpointDir(made)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
@@ -63,9 +69,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Tables that :func:`checkpoint` wrote, by application.
+_made: dict[str, list[str]] = {}
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Removes the tables that :func:`checkpoint` has written in this application; for when no result that reads them is needed any more."""
+    sc = spark.sparkContext
+    gone = _made.pop(sc.applicationId, [])
+    for path in gone:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs whose results are written; else they stay until the driver's JVM happens to collect its garbage."""
     gc.collect()

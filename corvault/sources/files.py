@@ -6,12 +6,15 @@ more can be registered.  A file that can't be converted gives a row with its err
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import html
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from pathlib import PurePosixPath
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvault.functions import text as T
+from corvault.operators.chunking import contacts_on_lines
+from corvault.sources import pdf
 
 Converter = Callable[[bytes, str], str]
 _converters: dict[str, Converter] = {}
@@ -36,7 +41,10 @@ def supported() -> list[str]:
     return sorted(_converters)
 
 
-def convert(content: bytes, name: str) -> str:
+def convert(content: bytes, name: str, by: str | None = None) -> str:
+    """Bytes of a file to Markdown by its extension, or by the converter of a name."""
+    if by is not None:
+        return _named[by](content, name)
     ext = name.rpartition(".")[2].lower()
     if ext not in _converters:
         raise ValueError(f"unsupported file type: {name}")
@@ -65,6 +73,64 @@ def table_markdown(rows: list[list[str]]) -> str:
     return "\n".join([bar(cells[0]), bar(["---"] * width), *map(bar, cells[1:])])
 
 
+def image_marker(name: str) -> str:
+    return f"##{name}##"
+
+
+#: Fixed value: the largest image that is taken from a page.
+MOST_IMAGE = 10 * 1024 * 1024
+
+
+def data_image(uri: str) -> tuple[str, bytes] | None:
+    """(name, content) of an image within a page; None where it isn't one or is too large.  The name is made from the content."""
+    m = re.fullmatch(r"data:image/([a-zA-Z0-9.+-]+)((?:;[^,;]*)*),(.*)", uri, re.S)
+    if not m or len(m[3]) > 2 * MOST_IMAGE:
+        return None
+    try:
+        raw = base64.b64decode(m[3]) if ";base64" in m[2] else html.unescape(m[3]).encode()
+    except ValueError:
+        return None
+    ext = {"jpeg": "jpg", "svg+xml": "svg"}.get(m[1].lower(), m[1].lower())
+    return (f"{hashlib.sha1(raw).hexdigest()[:12]}.{ext}", raw) if 0 < len(raw) <= MOST_IMAGE else None
+
+
+def data_name(uri: str) -> str:
+    got = data_image(uri)
+    return got[0] if got else "image"
+
+
+def media(content: bytes, name: str) -> list[tuple[str, str, bytes]]:
+    """(name in the archive, new name, content) of the pictures of an office file, numbered in the order of their names; paths that lead out are left out."""
+    stem = PurePosixPath(name).stem
+    out = []
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        return out
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for i, n in enumerate(sorted(n for n in z.namelist() if re.match(r"(?:word|ppt|xl)/media/", n) and not n.endswith("/")), 1):
+            path = PurePosixPath(n.replace("\\", "/"))
+            if not path.is_absolute() and ".." not in path.parts:
+                out.append((n, f"{stem}_{i:03d}{path.suffix or '.png'}", z.read(n)))
+    return out
+
+
+def _pictures(z: zipfile.ZipFile, part: str, names: dict[str, str]) -> dict[str, str]:
+    """Relation ids of a part to the new names of its pictures."""
+    folder, _, file = part.rpartition("/")
+    rels = f"{folder}/_rels/{file}.rels"
+    if rels not in z.namelist():
+        return {}
+    out = {}
+    for r in _xml(z, rels):
+        target = _attr(r, "Target") or ""
+        at = str(PurePosixPath(folder, target)) if not target.startswith("/") else target[1:]
+        parts: list[str] = []
+        for x in at.split("/"):
+            parts = parts[:-1] if x == ".." else [*parts, x]
+        if "/".join(parts) in names:
+            out[_attr(r, "Id") or ""] = names["/".join(parts)]
+    return out
+
+
 class _Html(HTMLParser):
     """Markdown of a page's content; scripts, styles, navigation and the page's own header and footer are left out."""
 
@@ -97,7 +163,8 @@ class _Html(HTMLParser):
                     self.text += "\n" if self.pre else " "
                 if tag == "img":
                     a = dict(attrs)
-                    self.text += f"![{a.get('alt') or ''}]({a.get('src') or ''})"
+                    src = a.get("src") or ""
+                    self.text += image_marker(data_name(src)) if src.startswith("data:image/") else f"![{a.get('alt') or ''}]({src})"
             return
         if self._drops(tag):
             self.skip += 1
@@ -197,8 +264,10 @@ def _runs(e, text_tag: str = "t") -> str:
 
 
 def docx(content: bytes, name: str) -> str:
-    """Paragraphs with headings and lists, then tables; fields of a table of contents are left out."""
+    """Paragraphs with headings and lists and the markers of their pictures, then tables; fields of a table of contents are left out."""
+    names = {n: new for n, new, _ in media(content, name)}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        pictures = _pictures(z, "word/document.xml", names)
         body = next(x for x in _xml(z, "word/document.xml") if _local(x) == "body")
         edges = {_runs(p).strip() for n in z.namelist() if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n) for p in _xml(z, n).iter() if _local(p) == "p"}
     parts, tables = [], []
@@ -208,23 +277,49 @@ def docx(content: bytes, name: str) -> str:
         if _local(e) != "p":
             continue
         style = next((_attr(x, "val") or "" for x in e.iter() if _local(x) == "pStyle"), "").lower()
+        shown = [pictures[r] for x in e.iter() if _local(x) == "blip" and (r := _attr(x, "embed")) in pictures]
         t = _runs(e).strip()
+        if shown and not t:
+            parts += map(image_marker, shown)
+            continue
         if not t or style.startswith("toc") or t in edges or any(_local(x) == "instrText" and "TOC" in (x.text or "") for x in e.iter()):
             continue
         m = re.search(r"heading\s*([1-6])", style)
         bullet = "list" in style or any(_local(x) == "numPr" for x in e.iter())
         parts.append("#" * int(m[1]) + " " + t if m else "- " + t if bullet else t)
+        parts += map(image_marker, shown)
     return "\n\n".join([*parts, *(t for t in tables if t)])
 
 
-def xlsx(content: bytes, name: str) -> str:
-    """The rows of every sheet as header: cell lines; several sheets have headings."""
+def docx_fast(content: bytes, name: str) -> str:
+    """Paragraphs with three levels of headings and lists, and tables of bars; no pictures, nothing is left out.  Chosen by name only."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = next(x for x in _xml(z, "word/document.xml") if _local(x) == "body")
+    parts, tables = [], []
+    for e in body:
+        if _local(e) == "tbl":
+            rows = [[_runs(c).strip() for c in r if _local(c) == "tc"] for r in e if _local(r) == "tr"]
+            rows = ["| " + " | ".join(r) + " |" for r in rows if any(r)]
+            if len(rows) >= 2:
+                tables += [rows[0], "|" + "---|" * rows[0].count(" | ") + "---|", *rows[1:]]
+        elif _local(e) == "p" and (t := _runs(e).strip()):
+            style = next((_attr(x, "val") or "" for x in e.iter() if _local(x) == "pStyle"), "").lower()
+            m = re.search(r"heading\s*([1-3])", style)
+            parts.append("#" * int(m[1]) + " " + t if m else "- " + t if "list" in style else t)
+    return re.sub(r"\n{3,}", "\n\n", "\n\n".join([*parts, *tables])).strip() + "\n"
+
+
+def xlsx(content: bytes, name: str, sheet: str | int | None = None) -> str:
+    """The rows of every sheet, or of one by name or number, as header: cell lines; several sheets have headings."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = [_runs(s) for s in _xml(z, "xl/sharedStrings.xml") if _local(s) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
         titles = [_attr(s, "name") or "" for s in _xml(z, "xl/workbook.xml").iter() if _local(s) == "sheet"]
         files = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
         out = []
-        for i, f in enumerate(files):
+        chosen = [(i, f) for i, f in enumerate(files) if sheet is None or sheet in (i, titles[i] if i < len(titles) else None)]
+        if not chosen and files:
+            raise ValueError(f"no sheet {sheet!r} in {name}")
+        for i, f in chosen:
             rows = []
             for r in (x for x in _xml(z, f).iter() if _local(x) == "row"):
                 row: list[str] = []
@@ -240,13 +335,14 @@ def xlsx(content: bytes, name: str) -> str:
                 if any(row):
                     rows.append(row)
             body = table_lines(rows)
-            out.append(f"## Sheet: {titles[i] if i < len(titles) else i + 1}\n\n{body}" if len(files) > 1 else body)
+            out.append(f"## Sheet: {titles[i] if i < len(titles) else i + 1}\n\n{body}" if len(chosen) > 1 else body)
     return "\n\n".join(out)
 
 
 def pptx(content: bytes, name: str) -> str:
     """Slides with their texts as bullets by level, and tables; slides are parted by rules."""
     out = []
+    names = {n: new for n, new, _ in media(content, name) if not new.lower().endswith((".emf", ".wmf"))}
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
         for i, f in enumerate(slides, 1):
@@ -259,6 +355,8 @@ def pptx(content: bytes, name: str) -> str:
                     lines.append("  " * level + "- " + t)
             for t in (x for x in root.iter() if _local(x) == "tbl"):
                 lines.append(table_lines([[_runs(c).strip() for c in r if _local(c) == "tc"] for r in t if _local(r) == "tr"]))
+            pictures = _pictures(z, f, names)
+            lines += [image_marker(pictures[r]) for x in root.iter() if _local(x) == "blip" and (r := _attr(x, "embed")) in pictures]
             out.append("\n".join(lines))
     return "\n\n---\n\n".join(out)
 
@@ -268,7 +366,9 @@ register(["html", "htm"], lambda b, _: html_markdown(b.decode("utf-8", "replace"
 register(["docx"], docx)
 register(["xlsx"], xlsx)
 register(["pptx"], pptx)
+register(["pdf"], lambda b, _: pdf.markdown(pdf.without_edges(pdf.lines(b))))
 register(IMAGES, lambda _, name: f"[Image: {name}]\n")
+_named: dict[str, Converter] = {"docx-fast": docx_fast}
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -278,9 +378,155 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return found.where(ext.isin(supported()) & ~F.regexp_extract("path", "([^/]+)$", 1).startswith(".")).select("path", T.level_of_path(F.col("path")).alias("level"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def markdown(spark: SparkSession, root: str) -> DataFrame:
-    """(path, level, text, error): every file below ``root`` as Markdown, or why not."""
+def _finished(path, text):
+    """What plain text and PDF files go through once they are text: contacts on their own lines, no marks of tables of contents, clean ends."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.when(ext == "pdf", T.clean_markdown(contacts_on_lines(T.strip_toc_markers(text)))).when(ext.isin(TEXT), T.clean_markdown(contacts_on_lines(text))).otherwise(text)
+
+
+def source_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(level, files, bytes) of the convertible files below ``root``; contents aren't read."""
+    return discover(spark, root).groupBy("level").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(name, path, size, size_display, modified) of the files right below ``root``, newest first; hidden files are left out."""
+    found = spark.read.format("binaryFile").load(root).select("path", "length", "modificationTime")
+    mb = 1024 * 1024
+    said = F.when(F.col("length") < mb, F.format_string("%.1f KB", F.col("length") / 1024)).otherwise(F.format_string("%.1f MB", F.col("length") / mb))
+    rows = found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "path", F.col("length").alias("size"), said.alias("size_display"), F.col("modificationTime").alias("modified"))
+    return rows.where(~F.col("name").startswith(".")).orderBy(F.desc("modified"), "name")
+
+
+def images(spark: SparkSession, root: str) -> DataFrame:
+    """(path, document, level, image_index, image_id, size): pictures in the ``images`` folders of documents, numbered within each by name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    at = found.where(F.lower("path").rlike(r"/images/[^/]+\.(?:jpg|jpeg|png|webp|gif|bmp)$"))
+    named = at.select("path", F.regexp_extract("path", "/([^/]+)/images/[^/]+$", 1).alias("document"), T.level_of_path(F.col("path")).alias("level"), F.col("length").alias("size"))
+    from pyspark.sql import Window
+
+    no = F.row_number().over(Window.partitionBy("level", "document").orderBy("path")) - 1
+    key = F.md5(F.concat_ws(":", "level", "document", no.cast("string"), F.regexp_extract("path", "([^/]+)$", 1)))
+    return named.select("path", "document", "level", no.alias("image_index"), key.alias("image_id"), "size")
+
+
+def document_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, level): folders of documents, which have pictures or files of parents."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    folder = F.regexp_extract("path", r"^(.*/[^/]+)/(?:images/[^/]+|[^/]+\.parents\.json)$", 1)
+    return found.select(folder.alias("folder")).where("folder != ''").distinct().select("folder", T.level_of_path(F.col("folder")).alias("level"))
+
+
+def office_media(spark: SparkSession, root: str) -> DataFrame:
+    """(path, inner, name, content): the pictures in the office files below ``root``; files that can't be opened give none."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{docx,pptx,xlsx}").load(root).select("path", "content")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    found = media(content, path.rpartition("/")[2])
+                except (zipfile.BadZipFile, OSError):
+                    continue
+                cols = [[x[i] for x in found] for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], ["path", "inner", "name", "content"])
+
+    return rows.mapInArrow(run, "path string, inner string, name string, content binary")
+
+
+def described(texts: DataFrame, descriptions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``texts`` (id, text) with each image marker replaced by its picture's description (name, text), where there is one by the name without extension.
+
+    Markers are taken out, looked up by a join and put back in their places; a text without markers doesn't move.
+    """
+    mark = "##[^#]+##"
+    c = F.col(text_col)
+    rows = texts.select(F.col(id_col).alias("id"), c.alias("text"))
+    plain = rows.where(~F.coalesce(F.col("text").rlike(mark), F.lit(False)))
+    cut = rows.where(F.col("text").rlike(mark)).select("id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(mark), F.lit(0)).alias("m"), F.split("text", mark, -1).alias("between"))
+    stem = lambda x: F.regexp_replace(F.regexp_extract(x, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    each = cut.select("id", "row", "between", F.posexplode("m").alias("n", "mark")).withColumn("stem", stem(F.substring("mark", F.lit(3), F.length("mark") - 4)))
+    known = descriptions.select(stem(F.col(descriptions.columns[0])).alias("stem"), F.trim(descriptions.columns[1]).alias("said")).dropDuplicates(["stem"])
+    joined = each.join(known, "stem", "left").select("id", "row", "between", "n", F.coalesce("said", "mark").alias("said"))
+    back = joined.groupBy("id", "row", "between").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]).alias("said"))
+    whole = F.array_join(F.flatten(F.transform(F.arrays_zip("between", "said"), lambda z: F.array(z["between"], F.coalesce(z["said"], F.lit(""))))), "")
+    return plain.unionByName(back.select("id", whole.alias("text")))
+
+
+def sources_of(outputs: DataFrame, inputs: DataFrame, out_root: str, in_root: str) -> DataFrame:
+    """(output, source): the input file of each Markdown file: the one at the same relative path with another extension, else one of the same stem, the first by name."""
+    bare = lambda c, root: F.regexp_replace(F.regexp_replace(c, "^" + re.escape(root.rstrip("/")) + "/", ""), r"\.[^./]*$", "")
+    i = inputs.select(F.col(inputs.columns[0]).alias("source")).withColumn("rel", bare(F.col("source"), in_root)).withColumn("stem", F.regexp_extract("rel", "([^/]+)$", 1))
+    o = outputs.select(F.col(outputs.columns[0]).alias("output")).withColumn("rel", bare(F.col("output"), out_root)).withColumn("stem", F.regexp_extract("rel", "([^/]+)$", 1))
+    same = i.groupBy("rel").agg(F.min("source").alias("near"))
+    alike = i.groupBy("stem").agg(F.min("source").alias("far"))
+    return o.join(same, "rel", "left").join(alike, "stem", "left").select("output", F.coalesce("near", "far").alias("source"))
+
+
+def pdf_elements(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text, elements): PDF files as Markdown, and of each line where it stands in that text, its page and its box."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root).select("path", "content")
+    line = pa.struct([("text", pa.string()), ("page", pa.int32()), ("box", pa.list_(pa.float64()))])
+    spot = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("page", pa.int32()), ("box", pa.list_(pa.float64())), ("type", pa.string())])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, found = [], []
+            for content in b.column(1).to_pylist():
+                try:
+                    pages = pdf.without_edges(pdf.lines(content))
+                except (ValueError, zipfile.BadZipFile, Exception):  # noqa: BLE001 - one bad file must not stop the others
+                    pages = []
+                texts.append(pdf.markdown(pages))
+                found.append([{"text": t, "page": i, "box": box} for i, p in enumerate(pages, 1) for t, box in p])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(found, pa.list_(line))], ["path", "text", "lines"])
+
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at, spots = 0, []
+                for x in own:
+                    found = text.find(x["text"], at)
+                    if found >= 0:
+                        at = found + len(x["text"])
+                        spots.append({"start": found, "end": at, "page": x["page"], "box": x["box"], "type": "text"})
+                out.append(spots)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(spot))], ["path", "text", "elements"])
+
+    made = rows.mapInArrow(run, "path string, text string, lines array<struct<text:string,page:int,box:array<double>>>")
+    done = made.select("path", T.clean_markdown(contacts_on_lines(T.strip_toc_markers(F.col("text")))).alias("text"), "lines")
+    return done.mapInArrow(place, "path string, text string, elements array<struct<start:int,end:int,page:int,box:array<double>,type:string>>")
+
+
+def verified_elements(documents: DataFrame) -> DataFrame:
+    """(path, elements, outside, empty, unsorted, wrong_page, covered): whether the elements of :func:`pdf_elements` lie within their text, in order, and on their page."""
+    marks = F.regexp_extract_all("text", F.lit("<!-- Page ([0-9]+) -->"), F.lit(1))
+    d = documents.select("path", "text", "elements", marks.alias("pages"), F.split("text", "<!-- Page [0-9]+ -->").alias("parts"))
+    starts = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)))
+    # the text before a page, and the markers in front of it
+    width = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice("pages", F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x) + 14))
+    d = d.withColumn("begin", F.zip_with(starts, width, lambda a, b: a + b))
+    e = d.select("path", "text", "pages", "begin", F.posexplode_outer("elements").alias("n", "e"))
+    before = F.element_at(F.col("begin"), F.array_position("pages", F.col("e.page").cast("string")).cast("int"))
+    after = F.get("begin", F.array_position("pages", F.col("e.page").cast("string")).cast("int"))
+    from pyspark.sql import Window
+
+    last = F.lag("e.start").over(Window.partitionBy("path").orderBy("n"))
+    e = e.withColumn("unsorted", F.col("e.start") < last).withColumn("on_page", (F.col("e.start") >= before) & (F.col("e.end") <= F.coalesce(after, F.length("text"))))
+    some = F.col("e").isNotNull()
+    return e.groupBy("path").agg(
+        F.count_if(some).alias("elements"), F.count_if(some & ((F.col("e.start") < 0) | (F.col("e.end") > F.length("text")))).alias("outside"), F.count_if(some & (F.col("e.end") <= F.col("e.start"))).alias("empty"),
+        F.count_if(F.coalesce("unsorted", F.lit(False))).alias("unsorted"), F.count_if(some & ~F.coalesce("on_page", F.lit(False))).alias("wrong_page"),
+        F.round(F.coalesce(F.sum(F.col("e.end") - F.col("e.start")), F.lit(0)) / F.greatest(F.lit(1), F.max(F.length("text"))), 4).alias("covered"),
+    )
+
+
+def markdown(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
+    """(path, level, text, error): every file below ``root`` as Markdown, or why not.  ``only`` (path): just these."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    if only is not None:
+        rows = rows.join(only.select("path").distinct(), "path", "left_semi")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,7 +540,8 @@ def markdown(spark: SparkSession, root: str) -> DataFrame:
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
 
-    return rows.mapInArrow(run, "path string, text string, error string").withColumn("level", T.level_of_path(F.col("path")))
+    done = rows.mapInArrow(run, "path string, text string, error string").withColumn("level", T.level_of_path(F.col("path")))
+    return done.withColumn("text", _finished(F.col("path"), F.col("text")))
 
 
 CHUNK_FILE = (

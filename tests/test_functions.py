@@ -73,7 +73,7 @@ def test_bands(spark):
 def test_vector_codec(spark):
     df = spark.createDataFrame([([0.5, -1.0],)], "v array<double>").select(T.format_vector(F.col("v")).alias("s"))
     assert df.first().s == "[0.5000000,-1.0000000]"
-    full = df.select(F.concat(F.lit("/ARAG-begin/"), "s", F.lit("/ARAG-end/public:0.5,restricted:x")).alias("t"))
+    full = df.select(F.concat(F.lit(T.MARKS[0]), "s", F.lit(T.MARKS[1] + "public:0.5,restricted:x")).alias("t"))
     r = full.select(T.parse_vector(F.col("t")).alias("v"), T.parse_similarities(F.col("t")).alias("m")).first()
     assert r.v == [0.5, -1.0]
     assert r.m == {"public": 0.5, "restricted": None}

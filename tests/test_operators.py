@@ -91,11 +91,19 @@ def test_folds():
     assert chunking.without_sections("目录\n\n这是正文第一段\n$x=1$\n末") == "这是正文第一段\n末"
     assert chunking.level_headings("# a\n### b\ntext\n## c") == "# a\n## b\ntext\n# c"
     assert chunking.distinct_paragraphs("one two three\n\none, two three\n\nquite another one") == "one two three\n\nquite another one"
-    assert chunking.named_links("see http://a.org/x and [t](http://b.org)") == "see [链接: a.org](http://a.org/x) and [t](http://b.org)"
-    assert chunking.contacts_on_lines("Call 13912345678 or a@b.cn\n2024-12345678") == "Call or\n电话: 13912345678\n邮箱: a@b.cn\n2024-12345678"
     assert chunking.table_blocks("| a |\n|---|\n| b |\ntext\nk: v\nk: w") == [(0, 3)]
 
 
+def test_links_and_contacts(spark):
+    df = spark.createDataFrame([("see http://a.org/x and [t](http://b.org)", "Call 13912345678 or a@b.cn\n2024-12345678"), (None, "13912345678"), ("", "010-12345678 and 010-12345678\n11010519491231002X")], "a string, b string")
+    got = [tuple(r) for r in df.select(chunking.named_links(F.col("a")), chunking.contacts_on_lines(F.col("b"))).collect()]
+    assert got == [
+        ("see [链接: a.org](http://a.org/x) and [t](http://b.org)", "Call or\n电话: 13912345678\n邮箱: a@b.cn\n2024-12345678"),
+        (None, "电话: 13912345678"),
+        ("", "and\n电话: 010-12345678\n电话: 010-12345678\n身份证: 11010519491231002X"),
+    ]
+
+
 def test_chunk_positions_and_nulls(spark):
     df = spark.createDataFrame([(1, "abcdef" * 30), (2, None), (3, "")], "id long, text string")
     rows = chunking.chunk(df, "id", "text", chunking.recursive(50, 10)).collect()
@@ -111,6 +119,88 @@ def test_literal_signs(spark):
     assert [(r.overlap, r.run) for r in literal.pair_overlap(df, "q", "t").collect()] == [(1.0, 10), (0.0, 0)]
 
 
+@pytest.mark.parametrize("limit", [(512, 1_500_000), (3, 400)])
+def test_blocks_of_documents_equal_brute_force(spark, monkeypatch, limit):
+    """Overlap and longest run against a level; once with small blocks, so that a document is dealt to several."""
+    monkeypatch.setattr(literal, "DOCUMENTS", limit[0])
+    monkeypatch.setattr(literal, "CHARS", limit[1])
+    rng = random.Random(4)
+    phrase = ["".join(rng.choices("abcd", k=rng.randint(4, 14))) for _ in range(30)]
+    text = lambda k: " ".join(rng.choices(phrase, k=k))
+    index = [(("x", "y")[i % 2], None if i == 5 else f"d{i % 9}", text(rng.randint(1, 14))) for i in range(40)] + [("x", "empty", None), ("x", "short", "abc")]
+    queries = [(i, text(rng.randint(0, 12))) for i in range(25)] + [(90, None), (91, "")]
+    got = {(r.id, r.level): (r.grams, r.hits, r.run, r.doc) for r in literal.against(spark.createDataFrame(queries, "id long, text string"), spark.createDataFrame(index, "level string, doc string, text string")).collect()}
+    grams = lambda t: ["".join(t.split())[i : i + 8] for i in range(len("".join(t.split())) - 7)] if t else []
+    expected = {}
+    for i, q in queries:
+        own = grams(q)
+        for level in ("x", "y"):
+            docs = {}
+            for lv, d, t in index:
+                if lv == level:
+                    docs.setdefault(d, set()).update(grams(t))
+            every = set().union(*docs.values())
+            if not set(own) & every:
+                continue
+            runs = []
+            for d, known in docs.items():
+                best = now = 0
+                for g in own:
+                    now = now + 1 if g in known else 0
+                    best = max(best, now)
+                if best:
+                    runs.append((-best, d is None, d or "", d))
+            run = min(runs)
+            expected[i, level] = (len(set(own)), len(set(own) & every), 7 - run[0], run[3])
+    assert got == expected and len(got) > 20
+
+
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    t = ingest.Table(spark, str(tmp_path / "t"))
+    rows = lambda x: spark.createDataFrame(x, "id string, n int")
+    t.upsert(rows([("a", 1), ("b", 1)]), "id")
+    before = sorted(map(tuple, t.read().collect()))
+    # after the data, before the pointer
+    with monkeypatch.context() as m:
+        m.setattr(ingest.Table, "_pointers", lambda self: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            t._put(rows([("a", 9)]), "id", {})
+    assert sorted(map(tuple, ingest.Table(spark, str(tmp_path / "t")).read().collect())) == before
+    # a pointer that was written, but not renamed
+    (tmp_path / "t" / "_next-x").write_text("{}")
+    assert sorted(map(tuple, t.read().collect())) == before
+    for i in range(4):
+        t.upsert(rows([("c", i)]), "id")
+    assert sorted(map(tuple, t.read().collect())) == [("a", 1), ("b", 1), ("c", 3)]
+    assert len(list((tmp_path / "t").glob("current-*.json"))) == 2
+
+
+def test_upsert_rewrites_only_what_it_touches(spark, tmp_path):
+    t = ingest.Table(spark, str(tmp_path / "t"), buckets=16)
+    t.upsert(spark.range(200).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("n")), "id")
+    first = t._state()["folders"]
+    t.upsert(spark.createDataFrame([("7", 5)], "id string, n int"), "id")
+    second = t._state()["folders"]
+    assert sum(first[b] != second[b] for b in first) == 1
+    assert {r.id: r.n for r in t.read().collect()} == {str(i): 5 if i == 7 else 0 for i in range(200)}
+    t.append(spark.createDataFrame([("7", 6), (None, 1), (None, 2)], "id string, n int"), "id")
+    assert t.read().count() == 203
+
+
+def test_children_without_parent_keep_apart(spark):
+    df = spark.createDataFrame([(1, None, None, "x"), (2, None, None, "y"), (3, "", 4, "x"), (4, "p", 2, "x"), (5, "p", None, "x")], "row_id long, doc_id string, i int, t string")
+    got = [r[0] for r in df.select(ingest.child_key(F.col("doc_id"), F.col("i"), F.col("row_id"), F.col("t"))).collect()]
+    assert len(set(got)) == 5 and got[3] == "p_child_2" and got[0].startswith("unknown_child_") and got[4].startswith("p_child__")
+
+
+def test_free_names(spark):
+    df = spark.createDataFrame([(1, "a.md"), (2, "a.md"), (3, "a_1.md"), (4, "a.md"), (5, "b"), (6, "b"), (7, None)], "i int, n string")
+    got = {r.i: r.free_name for r in ingest.free_names(df, "n", "i").collect()}
+    assert got == {1: "a.md", 2: "a_1.md", 3: "a_1_1.md", 4: "a_2.md", 5: "b", 6: "b_1", 7: None}
+    taken = spark.createDataFrame([("a.md",), ("a_1.md",)], "n string")
+    assert {r.i: r.free_name for r in ingest.free_names(df.where("i = 1"), "n", "i", taken=taken).collect()} == {1: "a_2.md"}
+
+
 def test_upsert_and_delete(spark, tmp_path):
     t = ingest.Table(spark, str(tmp_path / "t"))
     rows = lambda x: spark.createDataFrame(x, "id string, n int")
@@ -234,3 +324,206 @@ def test_streaming_ingest(spark, tmp_path):
             chunks.where("batch_no > 0").write.mode("append").parquet(src)
         stream(spark, src, chunks.schema, table, str(tmp_path / "ck")).awaitTermination()
     assert table.read().count() == ingest.canonical(chunks).select("id").distinct().count()
+
+
+def test_stream_and_shared_folder(spark):
+    from corvault import runtime
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+            runtime.shared_dir(Session())
+    made = runtime.checkpoint(spark.range(3))
+    assert made.count() == 3 and runtime.drop_tables(spark) >= 1
+
+
+def _pdf(pages):
+    import zlib
+
+    esc = lambda t: t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("latin-1")
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))) + b"] >>", b"<< /Type /Font /Subtype /Type1 >>"]
+    for i, lines in enumerate(pages):
+        body = zlib.compress(b"BT /F1 12 Tf 14 TL 72 770 Td " + b" ".join(b"[(%s) -200 (%s)] TJ T*" % (esc(x[:2]), esc(x[2:])) for x in lines) + b" ET")
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * i))
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(body) + body + b"\nendstream")
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+
+
+def test_pdf(spark, tmp_path):
+    from corvault.sources import files, pdf
+
+    content = _pdf([["Head", "one (a)", "two"], ["Head", "three 13912345678"], ["Head", "four"]])
+    (tmp_path / "a.pdf").write_bytes(content)
+    (tmp_path / "bad.pdf").write_bytes(b"no pdf")
+    pages = pdf.lines(content)
+    assert [[t for t, _ in p] for p in pages] == [["Head", "one (a)", "two"], ["Head", "three 13912345678"], ["Head", "four"]]
+    assert pages[0][0][1][0] == 72 and pages[0][0][1][1] < pages[0][1][1][1]
+    got = {r.path.rpartition("/")[2]: r for r in files.markdown(spark, str(tmp_path)).collect()}
+    assert "Head" not in got["a.pdf"].text and "<!-- Page 2 -->" in got["a.pdf"].text and "three\n电话: 13912345678" in got["a.pdf"].text
+    assert got["bad.pdf"].error
+    e = files.pdf_elements(spark, str(tmp_path)).where("path like '%a.pdf'")
+    row = e.first()
+    assert [(row.text[x.start : x.end], x.page) for x in row.elements] == [("one (a)", 1), ("two", 1), ("four", 3)]
+    v = files.verified_elements(e).first()
+    assert (v.elements, v.outside, v.empty, v.unsorted, v.wrong_page) == (3, 0, 0, 0, 0) and 0 < v.covered < 1
+    wrong = e.withColumn("elements", F.transform("elements", lambda x: x.withField("page", F.lit(2))))
+    assert files.verified_elements(wrong).first().wrong_page == 3
+
+
+def test_office_pictures_and_markers(spark, tmp_path):
+    from corvault.sources import files
+
+    w = 'xmlns:w="http://w" xmlns:a="http://a" xmlns:r="http://r"'
+    rels = '<Relationships><Relationship Id="r1" Target="media/image1.png"/></Relationships>'
+    doc = f'<w:document {w}><w:body><w:p><w:r><w:t>Text</w:t></w:r><w:r><a:blip r:embed="r1"/></w:r></w:p></w:body></w:document>'
+    content = _zip({"word/document.xml": doc, "word/_rels/document.xml.rels": rels, "word/media/image1.png": b"x", "word/media/../../evil.png": b"y"})
+    (tmp_path / "a.docx").write_bytes(content)
+    assert files.docx(content, "a.docx") == "Text\n\n##a_002.png##"
+    assert [(r.inner, r.name) for r in files.office_media(spark, str(tmp_path)).collect()] == [("word/media/image1.png", "a_002.png")]
+    texts = spark.createDataFrame([(1, "see ##a_002.png## and ##none.png##"), (2, "plain"), (3, None), (1, "see ##a_002.png##")], "id int, text string")
+    said = spark.createDataFrame([("a_002.md", " a chart ")], "name string, text string")
+    assert sorted((r.id, r.text or "") for r in files.described(texts, said, "id", "text").collect()) == [(1, "see a chart"), (1, "see a chart and ##none.png##"), (2, "plain"), (3, "")]
+    assert files.html_markdown('<body><p>x <img src="data:image/png;base64,AAAA"></p></body>').startswith("x ##") and files.data_image("data:text/html,x") is None
+    fast = files.convert(_zip({"word/document.xml": f'<w:document {w}><w:body><w:p><w:r><w:t>Body</w:t></w:r></w:p></w:body></w:document>'}), "b.docx", "docx-fast")
+    assert fast == "Body\n"
+
+
+def test_folders_of_documents(spark, tmp_path):
+    from corvault.sources import files
+
+    d = tmp_path / "1Restricted" / "doc.md" / "images"
+    d.mkdir(parents=True)
+    for n in ("b.png", "a.JPG", "c.txt"):
+        (d / n).write_bytes(b"12")
+    (tmp_path / "0Public" / "other.md").mkdir(parents=True)
+    (tmp_path / "0Public" / "other.md" / "x.parents.json").write_text("[]")
+    got = [(r.image_index, r.path.rpartition("/")[2], r.document, r.level) for r in files.images(spark, str(tmp_path)).orderBy("image_index").collect()]
+    assert got == [(0, "a.JPG", "doc.md", "restricted"), (1, "b.png", "doc.md", "restricted")]
+    assert {r.folder.rpartition("/")[2] for r in files.document_folders(spark, str(tmp_path)).collect()} == {"doc.md", "other.md"}
+    assert [(r.name, r.size_display) for r in files.listed(spark, str(d)).where("name = 'b.png'").collect()] == [("b.png", "0.0 KB")]
+    assert {(r.level, r.files, r.bytes) for r in files.source_counts(spark, str(tmp_path)).collect()} == {("restricted", 3, 6), ("public", 1, 2)}
+    o = spark.createDataFrame([("/out/x/a.md",), ("/out/b.md",), ("/out/none.md",)], "p string")
+    i = spark.createDataFrame([("/in/x/a.docx",), ("/in/y/b.pdf",)], "p string")
+    assert {r.output: r.source for r in files.sources_of(o, i, "/out", "/in").collect()} == {"/out/x/a.md": "/in/x/a.docx", "/out/b.md": "/in/y/b.pdf", "/out/none.md": None}
+
+
+def test_preprocess_with_a_log(spark, tmp_path):
+    from corvault.plans import pipeline
+
+    root, out = tmp_path / "in" / "0Public", str(tmp_path / "out")
+    root.mkdir(parents=True)
+    (root / "a.txt").write_text("one line. " * 200)
+    (root / "b.docx").write_bytes(b"broken")
+    log = pipeline.preprocess(spark, str(tmp_path / "in"), out)
+    assert sorted((r.path.rpartition("/")[2], r.status) for r in log.collect()) == [("a.txt", "success"), ("b.docx", "failed")]
+    assert {(r.level, r.processed, r.success, r.failed) for r in pipeline.totals(log).collect()} == {("public", 2, 1, 1), (None, 2, 1, 1)}
+    (root / "b.docx").write_bytes(_zip({"word/document.xml": '<w:document xmlns:w="http://w"><w:body><w:p><w:r><w:t>Body</w:t></w:r></w:p></w:body></w:document>'}))
+    assert [r.status for r in pipeline.retry(spark, str(tmp_path / "in"), out).collect()] == ["success"]
+    assert pipeline.totals(ingest.Table(spark, out + "/log").read()).where("level is null").first().failed == 0
+    kids = ingest.Table(spark, out + "/children").read()
+    assert kids.select("path").distinct().count() == 2 and kids.where("doc_id is null").count() == 0
+
+
+def test_index_from_files_to_search(spark, tmp_path):
+    from corvault.plans import pipeline
+    from corvault.sources import files
+
+    d = tmp_path / "MD" / "0Public" / "doc.md"
+    d.mkdir(parents=True)
+    item = lambda t, i, p: {"text": t, "metadata": {"chunk_index": i, "source": "doc.md", "doc_id": p}}
+    parents = [item("apples and pears grow on trees", 0, "p0"), item("ships sail the sea", 1, "p1")]
+    children = [item("apples grow", 0, "p0"), item("pears grow", 1, "p0"), item("ships sail", 2, "p1"), item("the sea", 3, "p1"), item("no parent", 4, None), item("none either", 4, None)]
+    (d / "doc.parents.json").write_text(json.dumps(parents))
+    (d / "doc.children.json").write_text(json.dumps(children))
+    index = pipeline.Index(spark, str(tmp_path / "ix"))
+    rows = lambda: files.chunk_files(spark, str(tmp_path / "MD"))
+    assert index.index(rows()).count() == 2
+    n = lambda: {r.collection: r.n for r in index.counts().collect()}
+    assert n() == {"parents": 2, "children": 6, "manifest": 2}
+    assert index.index(rows()).count() == 0
+    assert [(r.action, r.files) for r in index.ingest(rows()).collect()] == [("skipped", 0)]
+    q = spark.createDataFrame([(1, "apples grow")], "id long, text string")
+    hits = index.search(q, 3).orderBy(F.desc("score")).collect()
+    assert hits[0].text == "apples grow" and hits[0].parent_text == "apples and pears grow on trees" and hits[0].score == 1.0
+    assert len({h.doc_id or h.id for h in hits}) == len(hits) <= 3
+    (d / "doc.children.json").write_text(json.dumps(children[:3]))
+    assert index.index(rows()).count() == 1 and n()["children"] == 3
+    pair = pipeline.Index(spark, str(tmp_path / "pair"))
+    pair.add_pair(spark.createDataFrame([("a pair", 0, "")], "text string, chunk_index int, doc_id string"), spark.createDataFrame([("kid", 0), ("kid", 1)], "text string, chunk_index int"))
+    assert {r.collection: r.n for r in pair.counts().collect()} == {"parents": 1, "children": 2}
+    index.clear("public")
+    assert n() == {}
+    assert index.switch("hashed") is False and index.switch("other") is True
+
+
+def test_pictures_in_the_index(spark, tmp_path):
+    from corvault.functions import models
+    from corvault.plans import pipeline
+    from corvault.sources import files
+
+    d = tmp_path / "2Confidential" / "doc.md" / "images"
+    d.mkdir(parents=True)
+    (d / "a.png").write_bytes(b"abc")
+    (d / "empty.png").write_bytes(b"")
+    index = pipeline.Index(spark, str(tmp_path / "ix"))
+    contents = spark.read.format("binaryFile").load(str(d)).select("path", "content")
+    for _ in range(2):
+        assert index.index_images(files.images(spark, str(tmp_path)), contents, models.embed_images(F.col("content"))).count() == 1
+    assert {r.collection: r.n for r in index.counts().collect()} == {"images": 1}
+
+
+def test_models_without_a_model(spark):
+    from corvault.functions import models
+
+    df = spark.createDataFrame([("q", "c")], "q string, c string")
+    assert tuple(df.select(models.reranked(F.col("q"), F.col("c")), models.answers(F.col("q"))).first()) == (None, None)
+    models.register("reranker", "zero", lambda pairs: [0.0 for _ in pairs])
+    assert df.select(models.reranked(F.col("q"), F.col("c"), "zero")).first()[0] == 0.5
+    with models.Run(spark, "test-run") as run:
+        assert run.progress() == 1.0
+    replies = spark.createDataFrame([([7, 8], "1: YES\n2: no\n3: YES\nx\n 1 : NO")], "ids array<long>, reply string")
+    assert {r.id: r.noise for r in models.verdicts(replies).collect()} == {7: False, 8: False}
+
+
+def test_states_of_files(spark):
+    from corvault.plans import status
+
+    names = ["report.pdf", "report.md", "report.parents.json", "note.md", "x_1.txt", "orphan.parents.json", ".hidden.txt", "x.chunks.json"]
+    listing = spark.createDataFrame([(n,) for n in names], "name string")
+    from corvault.functions import text as T
+
+    first = spark.createDataFrame([("report", f"{T.MARKS[0]}[1.0]{T.MARKS[1]}public:0.5")], "stem string, vector string")
+    states = status.file_states(listing, first, ["pdf", "md", "txt"])
+    assert {tuple(r) for r in states.collect()} == {("report", "report.pdf", True, True, True), ("note", "note.md", False, False, False), ("x_1", "x_1.txt", False, False, False)}
+    assert tuple(status.folder_statistics(listing, states).first()) == (3, 1, 1, 1)
+    asked = spark.createDataFrame([("report.pdf",), ("x.txt",), ("none.txt",)], "name string")
+    assert {(r.filename, r.saved, r.compared) for r in status.status_of(states, asked).collect()} == {("report.pdf", True, True), ("x.txt", True, False), ("none.txt", False, False)}
+    left = status.without_files(listing, spark.createDataFrame([("report.pdf",)], "name string"))
+    assert {r.name for r in left.collect()} == {"note.md", "x_1.txt", "orphan.parents.json", ".hidden.txt", "x.chunks.json"}
+
+
+def test_documents_split_with_their_elements(spark):
+    from corvault.plans import pipeline
+
+    text = "# Head\n" + "word " * 60 + "\n| a | b |\n| c | d |\n" + "more " * 60
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
+    e = pipeline.line_elements(df, "id", "text")
+    assert [(r.element, r.type) for r in e.where("id = 1").orderBy("element").collect()] == [(0, "Title"), (1, "text"), (2, "Table"), (3, "Table"), (4, "text")]
+    paged = e.withColumn("page", F.when(F.col("element") < 2, 1).otherwise(2))
+    got = pipeline.split_documents(df, paged, "id", "text", 330, 0).orderBy("chunk_index").collect()
+    assert [(r.page, r.chunk_type) for r in got] == [(1, "heading"), (1, "text")] or got[0].page == 1
+    assert json.loads(got[0].bbox)["chunk_bboxes"][0]["page"] == 1
+    with pytest.raises(Exception, match="longer than the limit"):
+        pipeline.split_documents(df, e, "id", "text", 330, 0, most=10).count()
+    p = {r.id: r for r in pipeline.process(df, "id", "text").collect()}
+    assert p[1].title == "Head" and p[1].chunks and p[2].overall_score == 0 and p[2].issues == ["empty"]
