@@ -38,6 +38,8 @@ LEAF, LARGE, INNER = 220, 6, 4
 PER_BUCKET = 12_000_000
 #: Part of the squared distance at a cosine that the splits on the way to a leaf may take: leaves farther away aren't visited when only such cosines are wanted.
 REACH = 0.02
+#: See :meth:`Forest.wanted`: the more leaves there are, the smaller the part of them that is visited.
+QUEUE = 3
 _BLOCK = "bucket int, block binary"
 #: 8-bit products of unit vectors differ from the exact cosine by less than this.
 SLACK = 0.012
@@ -94,6 +96,10 @@ class Forest:
             out.append(cost)
         return np.concatenate(out, axis=1)
 
+    def wanted(self, extra: int | None) -> int:
+        """Leaves beside the homes: as many as said, else ``QUEUE`` times the root of the number of leaves of a tree."""
+        return int(QUEUE * (1 << self.depth) ** 0.5) if extra is None else extra
+
     def visits(self, v: np.ndarray, extra: int, reach: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, tree, leaf): the first leaves of each row's queue over all trees, its homes (of cost 0) and ``extra`` more; ``reach``: none of a greater cost."""
         v = v.astype(np.float32)
@@ -189,12 +195,13 @@ def _forests(vectors: DataFrame, trees: int, seed: int) -> tuple[dict[str, Fores
     return forests, total
 
 
-def candidates(vectors: DataFrame, queries, k: int, trees: int, extra: int, least: float | None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def candidates(vectors: DataFrame, queries, k: int, trees: int, extra: int | None, least: float | None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(pairs: q, c, of class keys; members: id, key).  ``queries(ids)`` says which vectors are queries; None: all."""
     spark = vectors.sparkSession
     made, total = _forests(vectors, trees, seed)
+    most = max((f.wanted(extra) for f in made.values()), default=0)
     width = max((f.normals.shape[2] for f in made.values()), default=1) + 17
-    buckets = max(shuffle_partitions(spark), -(-total * width * (trees + (extra if queries is None else extra // 20)) // PER_BUCKET))
+    buckets = max(shuffle_partitions(spark), -(-total * width * (trees + (most if queries is None else most // 20)) // PER_BUCKET))
     forests = spark.sparkContext.broadcast(made)
     reach = None if least is None else REACH * (2 - 2 * least)
 
@@ -221,7 +228,7 @@ def candidates(vectors: DataFrame, queries, k: int, trees: int, extra: int, leas
             rows = [(np.repeat(np.arange(n), trees), np.tile(np.arange(trees), n), homes.ravel(), 1)]
             if asks.any():
                 at = np.flatnonzero(asks)
-                r, t, leaf = f.visits(unit[at], extra, reach)
+                r, t, leaf = f.visits(unit[at], f.wanted(extra), reach)
                 r = at[r]
                 if queries is None:
                     # all are queries: the home postings serve as both
@@ -370,11 +377,11 @@ class _Best:
 
 
 def neighbours(
-    rows: DataFrame, id_col: str, model_col: str, dim_col: str, vec_col: str, k: int = 10, trees: int = 4, extra: int = 96, least: float | None = None, queries=None
+    rows: DataFrame, id_col: str, model_col: str, dim_col: str, vec_col: str, k: int = 10, trees: int = 4, extra: int | None = None, least: float | None = None, queries=None
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): up to ``k`` most similar vectors of each query, best first, equal cosines by id.
 
-    ``trees`` and ``extra`` say how many leaves a query visits: its home in each tree and ``extra`` more in the order of the queue.
+    ``trees`` and ``extra`` say how many leaves a query visits: its home in each tree and ``extra`` more in the order of the queue (see :meth:`Forest.wanted`).
 
     ``least`` leaves out neighbours of a smaller cosine, which never changes the rank of the others, and ends the queue
     where a vector of that cosine can hardly be (``REACH``), so that fewer leaves are enough.
