@@ -32,7 +32,6 @@ def _sound(v):
 def _cells(source: DataFrame, target: DataFrame) -> DataFrame:
     """Both sides, dealt to every cell of the grid that they belong to."""
     rows, cols = (max(1, math.ceil(df.count() / BLOCK)) for df in (source, target))
-    rows, cols = min(rows, 4096), min(cols, 4096)
     s = source.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     t = target.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     keep = ["r", "c", "id", "level", "vec"]
@@ -78,8 +77,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, n: int, id_col: str = "id", l
 
 def similar_pairs(source: DataFrame, target: DataFrame, least: float, id_col: str = "id", level_col: str = "level", vec_col: str = "vec") -> DataFrame:
     """(source_id, source_level, target_id, target_level, raw): pairs of a higher and a lower level with cosine at least ``least``."""
-    s, t = _prepared(source, id_col, level_col, vec_col), _prepared(target, id_col, level_col, vec_col)
     rank = {"public": 0, "restricted": 1, "confidential": 2}
+    # the lowest level is no source and the highest no target, so they aren't dealt to the grid as such
+    s = _prepared(source, id_col, level_col, vec_col).where(F.col("level").isin("restricted", "confidential"))
+    t = _prepared(target, id_col, level_col, vec_col).where(F.col("level").isin("public", "restricted"))
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -691,13 +691,8 @@ def scan_texts(spark, sf_dir):
 
 @query()
 def dedup_matches(spark, sf_dir):
-    """Vectors of a higher level near one of a lower level, at raw 0.3, with bands; texts are the chunks of equal number."""
-    e = _leveled(spark, sf_dir).join(read(spark, sf_dir, "chunks").select(F.col("row_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id")
-    return dedup.matches(e, scores_at(0.3)).drop("source_text", "target_text")
-
-
-def scores_at(raw: float) -> float:
-    return (raw - scores.BASELINE) / (1 - scores.BASELINE)
+    """All chunks of a higher level near one of a lower level, from the threshold of deletion on, with literal signs and bands."""
+    return dedup.matches(checkpoint(_corpus(spark, sf_dir, "true")), 0.75).drop("source_text", "target_text")
 
 
 # States and statistics
