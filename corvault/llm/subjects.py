@@ -57,7 +57,7 @@ SEEDS = {
 }
 
 _END = re.compile(r"(?<=[.!?])[\"”’)]*\s+(?=\S)|[。！？]+|\r?\n[ \t]*\r?\n")
-_CONTENT = re.compile("[一-鿿]{4}|[^\\W\\d_]{2,}[^\\n]*?[^\\w][^\\n]*?[^\\W\\d_]{2,}", re.S)
+_CONTENT = re.compile("[一-鿿]{4}|[^\\W\\d_]{2}\\W[^\\n]*?[^\\W\\d_]{2}")
 _LATIN, _HAN = re.compile("[^\\W\\d_一-鿿]{3,}"), re.compile("[一-鿿]+")
 
 
@@ -183,12 +183,13 @@ def spread(weights: dict[str, dict[str, float]], rows: DataFrame, text_col: str)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         m = plain.matcher()
-        n: Counter[tuple[str, str]] = Counter()
+        # of words: sentences in all (""), documents ("-"), and sentences that hold another term of a subject
+        held: dict[str, Counter[str]] = defaultdict(Counter)
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "subject", "n"])
-            n.clear()
-            return batch
+            for s_, c in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([s_] * len(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["term", "subject", "n"])
+            held.clear()
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -198,21 +199,24 @@ def spread(weights: dict[str, dict[str, float]], rows: DataFrame, text_col: str)
                 for x in sentences(t):
                     own = words(x)
                     here |= own
-                    n["", ""] += 1
-                    n.update((w, "") for w in own)
-                    found = {w: dict(o) for w, o in m.terms(x)}
-                    total: Counter[str] = Counter()
+                    own.add("")
+                    held[""].update(own)
+                    found = dict(m.terms(x))
+                    if not found:
+                        continue
+                    total: dict[str, float] = defaultdict(float)
                     for o in found.values():
-                        total.update(o)
+                        for s_, weight in o:
+                            total[s_] += weight
                     for s_, weight in total.items():
-                        n["", s_] += 1
                         # a term is no evidence for itself
-                        n.update((w, s_) for w in own if weight - found.get(w, {}).get(s_, 0) >= SENTENCE / 2)
-                n["", "-"] += 1
-                n.update((w, "-") for w in here)
-            if len(n) > 400_000:
-                yield out()
-        yield out()
+                        alone = {w for w, o in found.items() if weight - sum(v for k, v in o if k == s_) < SENTENCE / 2}
+                        held[s_].update(own - alone)
+                here.add("")
+                held["-"].update(here)
+            if sum(map(len, held.values())) > 400_000:
+                yield from out()
+        yield from out()
 
     counted = checkpoint(rows.select(text_col).mapInArrow(count, "term string, subject string, n long").groupBy("term", "subject").agg(F.sum("n").alias("n")))
     base = {r.subject: r.n for r in counted.where("term = ''").collect()}
