@@ -67,9 +67,11 @@ def sentences(text: str) -> list[str]:
 
 
 def words(sentence: str) -> set[str]:
-    """What may be a term: words of three letters or more, and every two ideographs side by side."""
-    low = sentence.lower()
-    return set(_LATIN.findall(low)) | {r[i : i + 2] for r in _HAN.findall(low) for i in range(len(r) - 1)}
+    """What may be a term in a sentence in small letters: words of three letters or more, and every two ideographs side by side."""
+    found = set(_LATIN.findall(sentence))
+    if not sentence.isascii():
+        found |= {r[i : i + 2] for r in _HAN.findall(sentence) for i in range(len(r) - 1)}
+    return found
 
 
 @dataclass
@@ -91,8 +93,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def terms(self, text: str) -> Iterator[tuple[str, tuple[tuple[str, float], ...]]]:
-        """Terms of ``text``; words count only as a whole, and terms of ideographs don't overlap."""
-        text = text.lower()
+        """Terms of a text in small letters; words count only as a whole, and terms of ideographs don't overlap."""
         free = 0
         for end, (n, own, alphabetic, w) in self.automaton.iter(text):
             begin = end + 1 - n
@@ -115,7 +116,7 @@ class Matcher:
 
     def shares(self, text: str | None) -> dict[str, float]:
         """Share of the sentences that are about each subject."""
-        own = sentences(text) if text else []
+        own = sentences(text.lower()) if text else []
         about: Counter[str] = Counter()
         for s in own:
             for subject, weight in self.sentence(s).items():
@@ -145,7 +146,7 @@ def learned(examples: list[tuple[str, set[str]]], seeds: dict[str, str] = SEEDS)
     size = Counter()
     all_sentences = 0
     for text, own in examples:
-        parts = [words(x) for x in sentences(text)]
+        parts = [words(x) for x in sentences(text.lower())]
         held = Counter(w for p in parts for w in p)
         total.update(held)
         all_sentences += len(parts)
@@ -196,7 +197,7 @@ def spread(weights: dict[str, dict[str, float]], rows: DataFrame, text_col: str)
                 if not t:
                     continue
                 here: set[str] = set()
-                for x in sentences(t):
+                for x in sentences(t.lower()):
                     own = words(x)
                     here |= own
                     own.add("")
