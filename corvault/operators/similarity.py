@@ -20,9 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvault.functions import scores
+from corvault.runtime import shuffle_partitions
 
 #: Rows of one side that a task holds.
 BLOCK = 20_000
+#: Rows that a finer cut leaves at least.
+LEAST = 2_000
 
 
 def _sound(v):
@@ -31,7 +34,11 @@ def _sound(v):
 
 def _cells(source: DataFrame, target: DataFrame) -> DataFrame:
     """Both sides, dealt to every cell of the grid that they belong to."""
-    rows, cols = (max(1, math.ceil(df.count() / BLOCK)) for df in (source, target))
+    parts = shuffle_partitions(source.sparkSession)
+    n, m = source.count(), target.count()
+    rows = max(1, math.ceil(n / BLOCK))
+    # small tables are cut finer, so that all tasks have work
+    cols = max(1, math.ceil(m / BLOCK), min(math.ceil(parts / rows), m // LEAST))
     s = source.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     t = target.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     keep = ["r", "c", "id", "level", "vec"]
