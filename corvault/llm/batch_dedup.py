@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvault.llm import bloom
 from corvault.llm.near_duplicates import _digest, fresh, verified
-from corvault.llm.postings import BLOCK_SCHEMA, BlockWriter, Sketch, bucket_count, cells_for, expanded, filtered, frequency_sketch, joined, opened, text_batches
+from corvault.llm.postings import BLOCK_SCHEMA, SKETCH_SCHEMA, BlockWriter, Sketch, bucket_count, cells_for, counted, expanded, filtered, gathered, joined, opened, text_batches
 from corvault.llm.units import mix, shingle_hashes, unit_hashes
 from corvault.runtime import checkpoint, release, shared_dir
 
@@ -127,10 +127,7 @@ class ChunkTable:
         self.spark, self.path = spark, path.rstrip("/")
         meta = json.loads(self.spark.read.text(f"{self.path}/meta").first()[0])
         self.buckets, self.k, self.least_units, self.threshold = meta["buckets"], meta["k"], meta["least_units"], meta["threshold"]
-        cells = np.zeros(meta["cells"], dtype=np.uint32)
-        for r in self.spark.read.parquet(f"{self.path}/order").toLocalIterator():
-            part = np.frombuffer(r.counts, dtype="<u4")
-            cells[r.at : r.at + len(part)] = part
+        cells = gathered(self.spark.read.schema(SKETCH_SCHEMA).parquet(f"{self.path}/order"), meta["cells"])
         self.sketch = spark.sparkContext.broadcast(Sketch(cells, meta["total"]))
 
     @classmethod
@@ -143,12 +140,13 @@ class ChunkTable:
             return _once(token, owner, weight)[0]
 
         length = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-        made = frequency_sketch(rows, count, cells=cells_for(length))
+        cells = cells_for(length)
+        # the tasks that add up the counts write them; from the driver they would be one task, too large to be sent
+        counted(rows, count, cells=cells).write.parquet(f"{path}/order")
         release(spark)
-        meta = {"buckets": bucket_count(rows, made.total), "k": k, "least_units": least_units, "threshold": threshold, "cells": len(made.cells), "total": made.total}
-        step = 1 << 20
-        parts = [(i, made.cells[i : i + step].tobytes()) for i in range(0, len(made.cells), step)]
-        spark.createDataFrame(parts, "at int, counts binary").coalesce(1).write.parquet(f"{path}/order")
+        order = spark.read.schema(SKETCH_SCHEMA).parquet(f"{path}/order")
+        total = order.mapInArrow(_sums, "n long").agg(F.sum("n")).first()[0] or 0
+        meta = {"buckets": bucket_count(rows, total), "k": k, "least_units": least_units, "threshold": threshold, "cells": cells, "total": total}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
         table = cls(spark, path)
         part = table._part(table.staged(rows, 0))
@@ -252,6 +250,11 @@ class ChunkTable:
         return result
 
 
+def _sums(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(v.as_buffer(), dtype="<u4").sum(dtype=np.int64)) for v in b.column(1)], pa.int64())], ["n"])
+
+
 def _aged(blob, bucket: int, asked: bloom.Filter | None) -> bytes | None:
     """A block of the table as one of old records, with the postings that ``asked`` may have; all of them without a filter."""
     made = filtered(blob, lambda t, _: np.ones(len(t), dtype=bool) if asked is None else asked.maybe(_placed(t, bucket)))

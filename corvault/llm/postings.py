@@ -25,6 +25,10 @@ _U = np.uint64
 #: Cells of the frequency sketch at least and at most (uint32: 8 and 256 MB), and tokens for each cell in between.
 CELLS, MOST_CELLS, PER_CELL = 1 << 21, 1 << 26, 64
 _SKETCH_BLOCK = 1 << 16
+#: Tokens that a task counts at once, and tasks that add up the counts at most (4 MB of the largest sketch each).
+_SKETCH_HELD, _SKETCH_TASKS = 4_000_000, 64
+#: Kinds of partial counts: places and counts, all counts of 16 bits, all counts of 32 bits.
+_FEW, _NARROW, _WIDE = b"\0\0", b"\2\0", b"\4\0"
 #: A token with more records than this is spread over a grid of cells, each with about as many on a side.
 HOT = 20_000
 #: Postings that a bucket should hold.
@@ -33,6 +37,7 @@ PER_BUCKET = 4_000_000
 STEP = 500_000
 
 BLOCK_SCHEMA = "bucket int, block binary"
+SKETCH_SCHEMA = "at int, counts binary"
 PAIR_SCHEMA = "k1 long, k2 long, hits long, need long"
 
 BOTH, INDEX, PROBE = 0, 1, 2
@@ -68,49 +73,85 @@ class Sketch:
         return self.cells[(tokens & _U(len(self.cells) - 1)).astype(np.int64)]
 
 
-def frequency_sketch(rows: DataFrame, tokens: Callable[[list[str | None]], np.ndarray], text: str = "text", cells: int = CELLS) -> Sketch:
-    """Counts of hashed tokens over all rows of ``rows``.
+def counted(rows: DataFrame, tokens: Callable[[list[str | None]], np.ndarray], text: str = "text", cells: int = CELLS) -> DataFrame:
+    """(at, counts): the cells of a sketch over all rows of ``rows``, in stretches of uint32 from cell ``at`` on; stretches of zeros are left out.
 
-    Every row counts.  Tasks send partial counts by block, which are added up in the cluster; the
-    driver gets ``cells`` numbers (see :func:`cells_for`).  A sketch fixes the order in which
-    tokens are looked up and the size of the grids, so collisions cost time and never results.
+    Every row counts.  Tasks send partial counts by stretch, only of the cells that they met where these are few, so what
+    a task sends follows its tokens and not ``cells`` (see :func:`cells_for`).  They are added up in the cluster.
     """
     size = min(cells, _SKETCH_BLOCK)
 
     def count(batches):
-        held = np.zeros(cells, dtype=np.uint32)
-        seen = False
+        held, many = [], 0
         for _, texts in text_batches(batches, text):
             t = tokens(texts)
-            if len(t):
-                seen = True
-                np.add.at(held, (t & _U(cells - 1)).astype(np.int64), np.uint32(1))
-        if seen:
-            parts = held.reshape(-1, size)
-            some = np.flatnonzero(parts.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_counts(parts[i]) for i in some], pa.binary())], ["bucket", "block"])
+            held.append((t & _U(cells - 1)).astype("<u4"))
+            many += len(t)
+            if many >= _SKETCH_HELD:
+                yield from _partial(np.concatenate(held), size)
+                held, many = [], 0
+        if many:
+            yield from _partial(np.concatenate(held), size)
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = blob.as_buffer()
-                part = np.frombuffer(raw, dtype="<u2" if raw.size == 2 * size else "<u4").astype(np.int64)
-                total[k] = total[k] + part if k in total else part
-        if total:
-            cut = [np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(cut, pa.binary())], ["bucket", "block"])
+                if k not in total:
+                    total[k] = np.zeros(size, dtype=np.int64)
+                _add(total[k], np.frombuffer(blob.as_buffer(), dtype=np.uint8))
+        for k, v in total.items():
+            cut = np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k * size], pa.int32()), pa.array([cut], pa.binary())], ["at", "counts"])
 
     parts = rows.select(text).mapInArrow(count, BLOCK_SCHEMA)
-    summed = parts.repartition(min(cells // size, shuffle_partitions(rows.sparkSession)), "bucket").mapInArrow(add, BLOCK_SCHEMA)
-    sketch = np.zeros(cells, dtype=np.uint32)
-    for row in summed.toLocalIterator():
-        sketch[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.block, dtype="<u4")
-    return Sketch(sketch, int(sketch.sum(dtype=np.int64)))
+    return parts.repartition(min(cells // size, shuffle_partitions(rows.sparkSession), _SKETCH_TASKS), "bucket").mapInArrow(add, SKETCH_SCHEMA)
+
 
+def gathered(stretches: DataFrame, cells: int) -> np.ndarray:
+    """The cells of the stretches (at, counts), which come to the driver a partition at a time."""
+    found = np.zeros(cells, dtype=np.uint32)
+    for row in stretches.toLocalIterator():
+        part = np.frombuffer(row.counts, dtype="<u4")
+        found[row.at : row.at + len(part)] = part
+    return found
 
-def _counts(part: np.ndarray) -> bytes:
-    return part.astype("<u2").tobytes() if part.max() < 1 << 16 else part.tobytes()
+
+def frequency_sketch(rows: DataFrame, tokens: Callable[[list[str | None]], np.ndarray], text: str = "text", cells: int = CELLS) -> Sketch:
+    """Counts of hashed tokens over all rows of ``rows``; the driver gets ``cells`` numbers.
+
+    A sketch fixes the order in which tokens are looked up and the size of the grids, so collisions
+    cost time and never results.
+    """
+    found = gathered(counted(rows, tokens, text, cells), cells)
+    return Sketch(found, int(found.sum(dtype=np.int64)))
+
+
+def _partial(met: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the cells ``met``, a block for each stretch of ``size``: of few cells their places and counts, else the counts of all."""
+    cell, n = np.unique(met, return_counts=True)
+    at = np.flatnonzero(np.r_[True, cell[1:] // size != cell[:-1] // size])
+    bucket, blocks = (cell[at] // size).astype(np.int32), []
+    for a, e in zip(at, np.r_[at[1:], len(cell)]):
+        place, own = cell[a:e] % size, n[a:e]
+        wide = own.max() >= 1 << 16
+        if not wide and 2 * len(place) < size:
+            blocks.append(_FEW + place.astype("<u2").tobytes() + own.astype("<u2").tobytes())
+        else:
+            full = np.zeros(size, dtype="<u4" if wide else "<u2")
+            full[place] = own
+            blocks.append((_WIDE if wide else _NARROW) + full.tobytes())
+    for a in range(0, len(blocks), _SKETCH_TASKS):
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + _SKETCH_TASKS]), pa.array(blocks[a : a + _SKETCH_TASKS], pa.binary())], ["bucket", "block"])
+
+
+def _add(total: np.ndarray, raw: np.ndarray) -> None:
+    kind, raw = raw[:2].tobytes(), raw[2:]
+    if kind == _FEW:
+        place, n = raw.view("<u2").reshape(2, -1)
+        total[place] += n
+    else:
+        total += raw.view("<u4" if kind == _WIDE else "<u2")
 
 
 def cells_for(code_points: int) -> int:

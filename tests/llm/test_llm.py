@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyspark
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -224,6 +229,53 @@ def test_batches_in_turn_and_cut_off_appends(spark, rows, texts, tmp_path):
     assert {r.id for r in table.accepted().collect()} == {i for i, t in enumerate(texts) if shingles(t) and i not in repeated}
 
 
+_ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from corvault.llm import batch_dedup
+from corvault.runtime import ship
+
+conf = {"spark.master": "local-cluster[1,1,1024]", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "2", "spark.rpc.message.maxSize": "1", "spark.checkpoint.dir": sys.argv[1]}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+ship(spark)
+text = " ".join(f"w{i}" for i in range(40))
+rows = spark.createDataFrame([(1, text, 0), (2, text + " x", 1), (3, text[::-1], 1)], "id long, text string, batch int")
+print("FOUND", [tuple(r)[:2] for r in batch_dedup.repeats(rows, "id", "text", "batch", 0.5, 3).collect()])
+"""
+
+
+def test_a_table_whose_order_is_larger_than_a_message(tmp_path):
+    """The order of chunks (8 MB here, up to 256) is larger than what a task may be sent (1 MB here, 128 by default); local masters have no such limit."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    env |= {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": str(Path(batch_dedup.__file__).parents[2])}
+    ran = subprocess.run([sys.executable, "-c", _ON_A_CLUSTER, f"file://{tmp_path}/shared"], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "FOUND [(1, 2)]" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_counts_of_a_sketch(spark, monkeypatch):
+    """Few, many and very many met cells of a stretch, in one go and in parts."""
+    rng = np.random.default_rng(3)
+    met = np.r_[rng.integers(0, 1 << 22, 3_000), rng.integers(1 << 20, (1 << 20) + (1 << 16), 200_000), np.full(70_000, 5)].astype("<u4")
+    kinds, total = set(), np.zeros((1 << 22 >> 16, 1 << 16), dtype=np.int64)
+    for b in postings._partial(met, 1 << 16):
+        for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            kinds.add(v[:2])
+            postings._add(total[k], np.frombuffer(v, dtype=np.uint8))
+    assert kinds == {postings._FEW, postings._NARROW, postings._WIDE}
+    assert (total.ravel() == np.bincount(met, minlength=1 << 22)).all()
+    monkeypatch.setattr(postings, "_SKETCH_HELD", 100)
+    rows = spark.createDataFrame([(" ".join(str(i % m) for i in range(150)),) for m in (1, 7, 40)], "text string").repartition(2)
+    hashed = lambda texts: np.concatenate([np.array(t.split(), dtype=np.uint64) * np.uint64(99_991) for t in texts])
+    made = postings.frequency_sketch(rows, hashed, cells=1 << 18)
+    expected = np.bincount(np.concatenate([np.arange(150) % m * 99_991 % (1 << 18) for m in (1, 7, 40)]), minlength=1 << 18)
+    assert made.total == 450 and (made.cells == expected).all()
+
+
 def test_a_last_stretch_of_the_limit_is_forced():
     for text, forced in (("a" * 500 + " " + "b" * 1000, True), ("a" * 500 + " " + "b" * 999, False), ("a" * 500 + " " + "b" * 999 + " ", False), ("b" * 1000 + " a", True), ("b" * 999 + " a", False)):
         pieces = splitting.split_text(text)
