@@ -527,3 +527,43 @@ def test_documents_split_with_their_elements(spark):
         pipeline.split_documents(df, e, "id", "text", 330, 0, most=10).count()
     p = {r.id: r for r in pipeline.process(df, "id", "text").collect()}
     assert p[1].title == "Head" and p[1].chunks and p[2].overall_score == 0 and p[2].issues == ["empty"]
+
+
+def moved(spark, df):
+    """Bytes written to the shuffle for ``df``."""
+    sc = spark.sparkContext
+
+    def total() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_blocks_of_vectors_are_not_copied(spark, monkeypatch):
+    """The shuffle doesn't grow with the number of blocks."""
+    rng = np.random.default_rng(2)
+    rows = [(i, ("public", "restricted", "confidential")[i % 3], v.tolist()) for i, v in enumerate(rng.normal(size=(600, 32)))]
+    df = spark.createDataFrame(rows, "id long, level string, vec array<double>").localCheckpoint()
+    got = {}
+    for block in (1000, 20):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        got[block] = moved(spark, similarity.similar_pairs(df, df, 0.9)), moved(spark, similarity.nearest(df, df, 2))
+    assert got[1000][0] > 0 and got[20][0] < 2 * got[1000][0] and got[20][1] < 2 * got[1000][1]
+
+
+def test_signs_of_similar_pairs_equal_those_of_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(literal.Signs, "TOGETHER", 300)
+    monkeypatch.setattr(literal.Signs, "BITS", 9)  # many grams share a place
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcde", k=rng.randint(2, 9))) for _ in range(25)]
+    texts = ["", "abc", "abcabcab", "abcabc a" * 40, *(" ".join(rng.choices(words, k=rng.randint(1, 90))) for _ in range(40)), None]
+    rows = [(i, ("public", "restricted", "confidential")[i % 3], [1.0, i / 1000], t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, level string, vec array<float>, text string")
+    got = {(r.source_id, r.target_id): (r.overlap, r.run) for r in similarity.similar_pairs(df, df, 0.5, text_col="text").collect()}
+    plain = [literal.normal(t or "") for t in texts]
+    assert len(got) == 15 * 30 + 15 * 15 and all(v == pytest.approx(literal.signs(plain[a], plain[b])) for (a, b), v in got.items())
