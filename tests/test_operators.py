@@ -567,3 +567,29 @@ def test_signs_of_similar_pairs_equal_those_of_each_pair(spark, monkeypatch):
     got = {(r.source_id, r.target_id): (r.overlap, r.run) for r in similarity.similar_pairs(df, df, 0.5, text_col="text").collect()}
     plain = [literal.normal(t or "") for t in texts]
     assert len(got) == 15 * 30 + 15 * 15 and all(v == pytest.approx(literal.signs(plain[a], plain[b])) for (a, b), v in got.items())
+
+
+def test_overlap_with_history_copies_nothing(spark, monkeypatch):
+    """What the query moves doesn't grow with the number of blocks of the history."""
+    from corvault.plans import queries
+
+    got = []
+    for chars in (1_500_000, 3_000):
+        monkeypatch.setattr(literal, "CHARS", chars)
+        got.append(moved(spark, queries.QUERIES["overlap_with_history"](spark, "/root/testdata/sf0.001")))
+    assert 0 < got[1] < 2 * got[0]
+
+
+@pytest.mark.parametrize("limit", [8_000_000, 50])
+def test_known_grams_equal_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(literal, "GRAMS", limit)
+    rng = random.Random(6)
+    phrase = ["".join(rng.choices("abcd", k=rng.randint(4, 14))) for _ in range(30)]
+    text = lambda: " ".join(rng.choices(phrase, k=rng.randint(0, 14)))
+    old, new = [text() for _ in range(60)] + [None, "", "abc"], [(i, text()) for i in range(40)] + [(90, None), (91, ""), (92, "a b c d e f")]
+    grams = lambda t: {"".join(t.split())[i : i + 8] for i in range(len("".join(t.split())) - 7)} if t else set()
+    there = set().union(*map(grams, old))
+    queries = spark.createDataFrame(new, "id long, text string").repartition(3)
+    for known, expected in ((old, there), ([], set())):
+        got = {r.id: (r.grams, r.hits) for r in literal.known(queries, spark.createDataFrame([(t,) for t in known], "text string").repartition(3)).collect()}
+        assert got == {i: (len(grams(t)), len(grams(t) & expected)) for i, t in new if grams(t)}
