@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import json
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -595,3 +596,20 @@ def test_known_grams_equal_brute_force(spark, monkeypatch, limit):
     for known, expected in ((old, there), ([], set())):
         got = {r.id: (r.grams, r.hits) for r in literal.known(queries, spark.createDataFrame([(t,) for t in known], "text string").repartition(3)).collect()}
         assert got == {i: (len(grams(t)), len(grams(t) & expected)) for i, t in new if grams(t)}
+
+
+def test_spans_of_long_texts():
+    """Pairs of long texts end; the stretches are those of the definition."""
+    rng = random.Random(3)
+    bare = lambda s: "".join(filter(str.isalnum, s))
+    word = lambda: "".join(rng.choices("abcö-.", k=rng.randint(1, 30)))
+    for _ in range(200):
+        text, pattern = (" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(2))
+        spaced = len(set(pattern.split())) > 1
+        keys = {k for k in map(bare, set(pattern.split()) if spaced else pattern) if len(k) > (2 if spaced else 0)}
+        for w in {bare(x) for x in text.split()} - {""}:
+            assert compare._related(w, frozenset(keys), "\n".join(keys)) == any(k in w or w in k for k in keys)
+    begun = time.thread_time()
+    text, pattern = (" ".join(f"{k}{i:05d}" for i in range(8_000)) for k in "xy")
+    assert compare.matching_spans(text, pattern) == []
+    assert time.thread_time() - begun < 2
