@@ -613,3 +613,17 @@ def test_spans_of_long_texts():
     text, pattern = (" ".join(f"{k}{i:05d}" for i in range(8_000)) for k in "xy")
     assert compare.matching_spans(text, pattern) == []
     assert time.thread_time() - begun < 2
+
+
+def test_signs_of_chosen_pairs(spark):
+    """Equal to those of each pair of texts, and no pair carries its texts through the shuffle."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(400)]
+    texts = ["", None, "abc", *(" ".join(rng.choices(words, k=rng.randint(1, 120))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").localCheckpoint()
+    pairs = spark.createDataFrame([(a, b) for a in range(63) for b in range(63) if rng.random() < 0.7], "query_id long, id long").localCheckpoint()
+    made = literal.chosen_overlap(pairs, df, df)
+    got = {(r.query_id, r.id): (r.overlap, r.run) for r in made.collect()}
+    plain = [literal.normal(t or "") for t in texts]
+    assert len(got) == pairs.count() and all(v == pytest.approx(literal.signs(plain[a], plain[b])) for (a, b), v in got.items())
+    assert moved(spark, made) < sum(len(texts[a] or "") + len(texts[b] or "") for a, b in got) / 10
